@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, token_store, url_rules
+from . import decontaminate, language, packing, quality, token_store, url_rules
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_language": language.op2_language,
+    "op6_quality": quality.op6_quality,
     "op7_token_store": token_store.op7_token_store,
     "op8_url_rules": url_rules.op8_url_rules,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 
 ORACLE_SQL = {"op8_url_rules": url_rules.OP8_SQL}
