@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, nearest, packing, quality, secrets, token_store, url_rules
+from . import decontaminate, jaccard, language, nearest, packing, quality, secrets, token_store, url_rules
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op10_secrets": secrets.op10_secrets,
     "op2_language": language.op2_language,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_nearest": nearest.op4_nearest,
     "op6_quality": quality.op6_quality,
     "op7_token_store": token_store.op7_token_store,
