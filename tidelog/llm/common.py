@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once by the vectorised code; one longer text makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
@@ -58,7 +60,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Apply ``f`` to slices of ``columns``, whose first string column is cut by ``CHUNK_BYTES``."""
     kept = df.select(*columns)
-    arrow = pa.schema(_arrow_fields(kept.sparkSession, schema))
+    arrow = pa.schema(_arrow_fields(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,11 +71,8 @@ def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.Re
     return kept.mapInArrow(run, schema)
 
 
-def _arrow_fields(spark: SparkSession, schema: str) -> list[pa.Field]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return list(to_arrow_schema(StructType.fromDDL(schema)))
+def _arrow_fields(schema: str | StructType) -> list[pa.Field]:
+    return list(to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema))
 
 
 def text_column(batch: pa.RecordBatch) -> pa.Array | None:
@@ -95,6 +94,45 @@ def slices(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.Recor
         at = to
 
 
+def only_shared(df: DataFrame, key: str, then: list[str], distinct: bool = False) -> DataFrame:
+    """The rows of an integer table whose ``key`` other rows have too, and with ``distinct`` each row once.
+
+    The rows of a key come to one task in order and pass through it: a key may have any number.
+    """
+    names = df.columns
+    first, kinds = names.index(key), [f.type for f in _arrow_fields(df.schema)]
+
+    def run(batches: Iterator[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+        held, carried = [np.zeros(0, np.int64)] * len(names), False  # the last row so far, and whether its key had rows before it
+        for batch in _and_none(batches):
+            rows = held if batch is None else [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            if not len(rows[0]):
+                continue
+            if distinct:
+                new = np.ones(len(rows[0]), bool)
+                new[1:] = np.any([c[1:] != c[:-1] for c in rows], axis=0)
+                rows = [c[new] for c in rows]
+            k = rows[first]
+            like = k[1:] == k[:-1]
+            shared = np.zeros(len(k), bool)
+            shared[1:] |= like
+            shared[:-1] |= like
+            shared[0] |= carried
+            if batch is None:
+                yield pa.RecordBatch.from_arrays([pa.array(c[shared], t) for c, t in zip(rows, kinds)], names=names)
+                continue
+            held, carried = [c[-1:] for c in rows], bool(shared[-1])
+            out = shared[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][out], t) for c, t in zip(rows, kinds)], names=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(run, df.schema)
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

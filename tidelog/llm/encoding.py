@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Entries of the cache that stays and of the one that is emptied when full.
-KEPT, PASSING = 250_000, 150_000
+KEPT, PASSING = 500_000, 200_000
 
 # The tokenizer file's cutting pattern, for texts of ASCII and Latin-1 letters and for all others.
 _NARROW = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -34,15 +35,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = regex.compile(_WIDE)
-        self.kept: dict[str, bytes] = {}
-        self.passing: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         out = {}
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                out[piece] = np.array(e.ids, "<u4").tobytes()
+                out[piece] = array("I", e.ids).tobytes()  # 4 bytes, little-endian
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -52,24 +53,27 @@ class Encoder:
                 cut.append(None)
             else:
                 cut.append((self.wide if _PLAIN.search(text) else _NARROW).findall(text))
-        kept, passing = self.kept, self.passing
-        unseen = {p for pieces in cut if pieces for p in pieces if p not in kept and p not in passing}
+        known = self.known
+        distinct: set[str] = set()
+        for pieces in cut:
+            distinct.update(pieces or ())
+        unseen = [p for p in distinct if p not in known]
         if unseen:
-            new = self._learn(sorted(unseen))
-            if len(kept) < KEPT:
-                kept |= new
-            else:
-                if len(passing) + len(new) > PASSING:
-                    known = {p: passing[p] for pieces in cut if pieces for p in pieces if p in passing}
-                    passing.clear()
-                    passing |= known
-                passing |= new
+            if len(known) + len(unseen) > KEPT + PASSING:
+                for p in self.passing:
+                    if p not in distinct:
+                        del known[p]
+                self.passing = [p for p in self.passing if p in distinct]
+            if len(known) >= KEPT:
+                self.passing += unseen
+            known |= self._learn(unseen)
+        get = known.__getitem__
         out = []
         for text, pieces in zip(texts, cut):
             if pieces is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join([kept[p] if p in kept else passing[p] for p in pieces]))
+                out.append(b"".join(map(get, pieces)))
         return out
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_long, cut_words, gram_hashes, mix, save, table, word_hashes
+from .common import arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, save, table, word_hashes
 from .components import components
 
 SIZE, PERCENT = 4, 85
@@ -126,34 +126,9 @@ def prefix_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
         count = np.where(keep & (n > 0), prefix(n, percent) + reserve(n, percent), 0)
         yield {"token": as_long(tokens[_heads(first, count)]), "class": np.repeat(as_long(fingerprints(tokens, first)), count)}
 
-    def shared(batches):
-        held = np.zeros((0, 2), np.int64)
-        for batch in _with_end(batches):
-            rows = held if batch is None else np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], 1)])
-            if not len(rows):
-                continue
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(1)
-            rows = rows[new]
-            edge = np.ones(len(rows) + 1, bool)
-            edge[1:-1] = rows[1:, 0] != rows[:-1, 0]
-            alone = edge[:-1] & edge[1:]
-            if batch is not None:  # whether the last row is alone, the next batch tells
-                held, rows, alone = rows[-1:], rows[:-1], alone[:-1]
-                if not edge[-2]:  # its token has rows before: let one of them go along
-                    held = np.concatenate([rows[-1:], held])
-                    rows, alone = rows[:-1], alone[:-1]
-            rows = rows[~alone]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["token", "class"])
-
     schema = "token bigint, class bigint"
     every = arrow_map(docs, ["doc_id", "text"], schema, run)
-    return every.repartition("token").sortWithinPartitions("token", "class").mapInArrow(shared, schema)
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+    return only_shared(every, "token", ["class"], distinct=True)
 
 
 def _e(n, percent: int):
