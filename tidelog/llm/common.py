@@ -76,7 +76,9 @@ def _arrow_fields(schema: str | StructType) -> list[pa.Field]:
 
 
 def text_column(batch: pa.RecordBatch) -> pa.Array | None:
-    return next((c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)), None)
+    """The column ``text``, else the first of strings."""
+    strings = {n: c for n, c in zip(batch.schema.names, batch.columns) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)}
+    return strings.get("text", next(iter(strings.values()), None))
 
 
 def slices(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

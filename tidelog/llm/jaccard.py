@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, save, table, word_hashes
+from .common import arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, save, slices, table, word_hashes
 from .components import components
 
 SIZE, PERCENT = 4, 85
@@ -252,7 +252,8 @@ def _placed(groups: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups: int = MOST_GROUPS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``class_id`` (documents with the same set) of every document."""
+    """``doc_id``, ``n_shingles``, ``component_id``, ``class_id`` (documents with the same set) and ``group_id`` (a class of the component)
+    of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = save(signatures(docs, size), "signatures")
     full = signed.where("n_shingles > 0")
@@ -273,10 +274,30 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups:
     labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
     named = groups.select("class", "key").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("key").alias("component"))
-    component = named.join(least, "label").select("class", "component")
+    component = named.join(least, "label").select("class", "label", "component")
     out = signed.drop("low").join(component, "class", "left")
     own = F.coalesce("component", F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(own != NONE, own).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class")).alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.when(own != NONE, own).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class")).alias("class_id"), F.col("label").alias("group_id"))
+
+
+def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The document with the smallest id of each component, with all its columns; documents without words all stay."""
+    rows = save(join(docs, size, percent), "components")
+    named = rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("_id"), F.coalesce("class_id", F.lit(0)).alias("_class"), "group_id")
+    stay = named.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("_id", "_class")).alias("s")).select("s.*")
+    stay = stay.unionByName(named.where("group_id is null").select("_id", "_class").distinct())
+    at, schema = docs.columns.index("text"), docs.withColumns({"_class": F.lit(0).cast("bigint"), "_n": F.lit(0).cast("bigint")}).schema
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                tokens, first = token_sets(part.column(at), size)
+                n = np.diff(first)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(n > 0, as_long(fingerprints(tokens, first)), 0)), pa.array(n)], names=schema.names)
+
+    classed = docs.mapInArrow(run, schema).withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)))
+    tied = classed.withColumn("_tie", F.when(F.col("_n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(0)))  # repeated rows with words are one
+    return tied.join(stay, ["_id", "_class"], "left_semi").dropDuplicates(["_id", "_class", "_tie"]).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,11 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut_words, gram_hashes, save, table, word_hashes
+from .common import arrow_map, cut_words, gram_hashes, save, slices, table, word_hashes
 
 THRESHOLD = 0.3
 
@@ -163,5 +164,20 @@ def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, t
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), fold) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents predicted 1, with all their columns. Statistics are made again where rows are judged, so texts aren't shuffled."""
+    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
+    features = save(with_statistics(docs.where(remainder(F.col("doc_id"), fold) != held)), "statistics")
+    model = fit(features.join(known, F.col("doc_id") == F.col("_id")).select("label", "features"))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(statistics(part.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
