@@ -1 +1,52 @@
-STAGES = []
+"""From raw documents to packed sequences: five stages, each over all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelog.llm import decontaminate, jaccard, packing, quality, secrets
+from tidelog.llm.common import save, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
+    return jaccard.first_of_each(docs, size=5, percent=80)
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a few edits, go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are masked; every document stays."""
+    return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", not_in_benchmark),
+    ("secret_scans", without_secrets),
+    ("best_fit_packing", packed),
+]
+
+#: Tokenising and packing have no form in SQL; the tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = save(stage(spark, out, sf_dir), name)
+    return out
