@@ -89,15 +89,17 @@ class KVTable:
         if not self.version.batches:
             return self
         ops = merge.newest_wins(self._read([b.path for b in self.version.batches]))
-        files, number = self._write_files(ops, 0)
+        files, number = self._write_files(ops, 0, sum(b.bytes for b in self.version.batches), split=False)
         self._commit(self.version.next(batches=(), files=(*self.version.files, *files), next_file=number, flush_bytes=self.version.flush_bytes + sum(f.bytes for f in files)))
         return self
 
-    def _write_files(self, ops: DataFrame, level: int, held: int = 0) -> tuple[list[FileMeta], int]:
+    def _write_files(self, ops: DataFrame, level: int, held: int, split: bool = True) -> tuple[list[FileMeta], int]:
         """Sorted files with disjoint keys. Their bounds come from one pass over the written keys."""
         name = f"runs/{self.version.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        parts = max(1, -(-held // self.options.target_file_size))
-        wanted = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": str(max(1e-6, 0.6185 ** self.options.bloom_bits_per_key)), **CHECKSUMS}
+        parts = max(1, -(-held // self.options.target_file_size)) if split else 1
+        # About as many keys as a file of the target size holds; a filter for more would outweigh a small file.
+        keys = max(64, -(-held // parts) // 32)
+        wanted = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(keys), "parquet.bloom.filter.fpp#key": str(max(1e-6, 0.6185 ** self.options.bloom_bits_per_key)), **CHECKSUMS}
         placed = ops.select("key", "seq", "value", "tomb").repartitionByRange(int(parts), "key").sortWithinPartitions("key")
         placed.write.options(**wanted).parquet(self.storage.uri(name))
         sizes = {f: s for f, s in self.storage.list(name) if f.endswith(".parquet")}
