@@ -127,7 +127,7 @@ class Plan:
                     free[new] = self.capacity - sum(new)
                 else:
                     bins -= n
-            stuck.clear() if len(stuck) > 64 else None
+            stuck.clear()
         self.classes = [[free[k], n, list(k)] for k, n in count.items()]
         return before - bins
 
