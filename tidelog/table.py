@@ -68,11 +68,11 @@ class KVTable:
         ops = ops.select("key", (F.monotonically_increasing_id() + F.lit(self.version.next_seq)).alias("seq"), F.when(~tomb, F.col("value")).otherwise("").alias("value"), tomb.alias("tomb"))
         name = f"log/batch-{self.version.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         ops.write.options(**CHECKSUMS).parquet(self.storage.uri(name))
-        written = self._read([name])
-        if not written.where(F.col("key").isNull() | F.col("value").isNull()).isEmpty():
+        nulls = F.count_if(F.col("key").isNull() | F.col("value").isNull())
+        row = self._read([name]).agg(F.max("seq").alias("top"), F.sum(user_bytes()).alias("user"), F.sum(key_value_bytes()).alias("held"), nulls.alias("nulls")).first()
+        if row["nulls"]:
             self.storage.delete(name)
             raise InvalidArgument("keys and values can't be null")
-        row = written.agg(F.max("seq").alias("top"), F.sum(user_bytes()).alias("user"), F.sum(key_value_bytes()).alias("held")).first()
         if row["top"] is None and token is None:
             self.storage.delete(name)
             return self
@@ -100,7 +100,8 @@ class KVTable:
         # About as many keys as a file of the target size holds; a filter for more would outweigh a small file.
         keys = max(64, -(-held // parts) // 32)
         wanted = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(keys), "parquet.bloom.filter.fpp#key": str(max(1e-6, 0.6185 ** self.options.bloom_bits_per_key)), **CHECKSUMS}
-        placed = ops.select("key", "seq", "value", "tomb").repartitionByRange(int(parts), "key").sortWithinPartitions("key")
+        placed = ops.select("key", "seq", "value", "tomb")
+        placed = (placed.repartitionByRange(int(parts), "key") if parts > 1 else placed.repartition(1)).sortWithinPartitions("key")
         placed.write.options(**wanted).parquet(self.storage.uri(name))
         sizes = {f: s for f, s in self.storage.list(name) if f.endswith(".parquet")}
         bounds = self._read([name]).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"))
