@@ -198,13 +198,10 @@ def compare(sets: list[np.ndarray], role: np.ndarray, percent: int) -> tuple[lis
     return links, root
 
 
-def verify(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows ``a``, ``b``, ``g``: links (``g`` null), and members of many-chunk groups not connected with the first class (``b`` null).
-
-    ``wanted``: ``class``, ``g``, ``role``, ``part``, ``piece``: where each class is needed. ``classes``: ``class`` and ``key``, the document to read it from.
-    """
-    needed = wanted.select("class").distinct().join(classes.select("class", "key"), "class")
-    rows = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("key"), "text").join(needed, "key")
+def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """``class`` and ``tokens`` of the ``needed`` classes, read from one document of each. ``classes``: ``class`` and ``key``, that document."""
+    wanted = needed.select("class").distinct().join(classes.select("class", "key"), "class")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("key"), "text").join(wanted, "key")
 
     def read(batch):
         tokens, first = token_sets(batch.column(1), size)
@@ -213,7 +210,14 @@ def verify(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, pe
         keep = np.flatnonzero(own)
         yield {"class": batch.column(0).to_numpy()[keep], "tokens": [raw[8 * first[i] : 8 * first[i + 1]] for i in keep]}
 
-    sets = arrow_map(rows, ["class", "text"], "class bigint, tokens binary", read)
+    return arrow_map(rows, ["class", "text"], "class bigint, tokens binary", read)
+
+
+def verify(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """Rows ``a``, ``b``, ``g``: links (``g`` null), and members of many-chunk groups not connected with the first class (``b`` null).
+
+    ``wanted``: ``class``, ``g``, ``role``, ``part``, ``piece``: where each class is needed. ``sets``: ``class`` and ``tokens``.
+    """
     names = ["a", "b", "g"]
 
     def run(chunk: pa.Table) -> pa.Table:
@@ -266,11 +270,13 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups:
     turn = F.struct("n1", "g1") < F.struct("n2", "g2")  # the smaller group asks
     directed = pairs.join(one, "g1").join(two, "g2").select(F.when(turn, F.col("g1")).otherwise(F.col("g2")).alias("from"), F.when(turn, F.col("g2")).otherwise(F.col("g1")).alias("g"))
     queries = directed.join(groups.select(F.col("g").alias("from"), "class"), "from").select("class", "g")
-    found = save(verify(docs, groups, save(_placed(groups, queries), "places"), size, percent), "links")
+    places = save(_placed(groups, queries), "places")
+    sets = save(sets_of(docs, groups, places, size), "sets")
+    found = save(verify(sets, places, percent), "links")
     loose = found.where("b is null").select(F.col("a").alias("class"), "g").distinct()
     if loose.limit(1).count():
         again = groups.join(loose.select("g").distinct(), "g", "left_semi")
-        found = found.unionByName(save(verify(docs, groups, save(_placed(again, loose).where("role <> 2"), "places"), size, percent), "links"))
+        found = found.unionByName(save(verify(sets, save(_placed(again, loose).where("role <> 2"), "places"), percent), "links"))
     labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
     named = groups.select("class", "key").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("key").alias("component"))
