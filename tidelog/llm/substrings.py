@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _MULTIPLIER, arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, powers, save, table, word_hashes
+from .common import _INVERSE, _MULTIPLIER, arrow_map, as_long, cut_words, gram_hashes, mix, powers, save, table, word_hashes
 
 WIDTH, PREFIX = 35, 8
 #: Segments of one group, and of one task's batch of groups.
@@ -105,7 +105,10 @@ def repeated(docs: DataFrame, width: int) -> DataFrame:
         yield {"gram": s["gram"], "segment": s["segment"], "key": key[s["doc"]], "low": s["low"], "n": s["n"]}
 
     schema = "gram bigint, segment bigint, key bigint, low int, n int"
-    live = save(only_shared(arrow_map(docs, ["key", "text"], schema, cut), "gram", ["segment"]), "segments")
+    every = save(arrow_map(docs, ["key", "text"], schema, cut), "anchors")
+    # Counts are combined before the shuffle, and the join may split a frequent anchor: none comes whole to one task.
+    frequent = every.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    live = save(every.join(frequent, "gram"), "segments")
     distinct = live.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "low", "n")).alias("at"))
     counted = save(distinct.select("gram", "segment", "copies", "at.*"), "distinct")
     groups = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"))
