@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Entries of the cache that stays and of the one that is emptied when full.
-KEPT, PASSING = 500_000, 200_000
+KEPT, PASSING = 300_000, 100_000
 
 # The tokenizer file's cutting pattern, for texts of ASCII and Latin-1 letters and for all others.
 _NARROW = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
