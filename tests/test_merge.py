@@ -69,6 +69,21 @@ def test_running_sum_and_rank(spark):
         assert got[i] == (total, i + 1)
 
 
+def test_running_sum_over_several_coalesced_ranges(spark, tmp_path):
+    n, text = 300_000, "x" * 60
+    spark.range(0, n, 1, 1).selectExpr("id * 7 % 300000 AS id", f"concat('{text}', id) AS text").write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        out = ordered.running_sum(df, "id", df["id"] % 13, "s")
+        tens = "13 * 6 * (id div 13) + (id % 13) * (id % 13 + 1) div 2"  # 0 + ... + 12 a round, then what has begun
+        assert tuple(out.selectExpr("count(1)", f"count_if(s <> {tens})", "count(distinct id)", "min(length(text)) > 60").first()) == (n, 0, n, True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_percentiles_do_not_interpolate(spark):
     df = spark.range(1000).selectExpr("CAST(id AS double) AS v", "id")
     assert sorted(tuple(r) for r in ordered.percentiles(df, "v", "id", [0.5, 0.99, 1.0]).collect()) == [(0.5, 500.0), (0.99, 990.0), (1.0, 999.0)]

@@ -8,8 +8,6 @@ encoded text without decoding it.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -20,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..storage import fresh_path, save, shared_dir  # noqa: F401
+
 #: Text bytes handled at once by the vectorised code; one longer text makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
 #: Words longer than this are hashed one by one.
@@ -33,30 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where unset (as in tests) a temporary folder is set for the session."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidelog.shared.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.tidelog.shared.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lost executors never cause it to be computed again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Apply ``f`` to slices of ``columns``, whose first string column is cut by ``CHUNK_BYTES``."""
     kept = df.select(*columns)

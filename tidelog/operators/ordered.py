@@ -1,7 +1,8 @@
 """Running sums and ranks over a global order, without bringing all rows to one task.
 
-Rows are dealt into ranges of the order. Each range is summed on its own; the
-ranges' totals, a row each, are added up and handed back.
+Rows are dealt into ranges of the order and written once with the range's number,
+so that totals and rows are of the same ranges. Each range is summed on its own;
+the ranges' totals, a row each, are added up and handed back.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import save
+
 
 def running_sum(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows up to this one in ``order``, a column without ties."""
-    ranged = df.withColumn("_value", value).repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    # Dealt out twice, the ranges would be sampled and coalesced anew and the join below would lose rows.
+    ranged = save(df.withColumn("_value", value).repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("_range").agg(F.sum("_value").alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))

@@ -1,8 +1,11 @@
-"""Files of a table through Hadoop's file system, so that any store Spark reads can hold one."""
+"""Files of a table through Hadoop's file system, so that any store Spark reads can hold one, and tables written to the folder all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from .model import ConflictError
 
@@ -54,3 +57,27 @@ class Storage:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where unset (as in tests) a temporary folder is set for the session."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidelog.shared.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+        spark.conf.set("spark.tidelog.shared.dir", path)
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that lost executors never cause it to be computed again."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
