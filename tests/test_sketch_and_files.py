@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,30 @@ def test_equal_block_model_is_a_true_lru(spark):
         lru.insert((0, b), 1)
     got = cache.equal_blocks(spark.createDataFrame(trace, "seq bigint, block int"), 8)
     assert {r["seq"]: r["hit"] for r in got.collect()} == hits
+
+
+def test_equal_blocks_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(cache, "RANGE_ROWS", 100)
+    rng = random.Random(3)
+    trace = [(i * 3, rng.randrange(40) if i < 900 else rng.randrange(5)) for i in range(1500)]
+    df = spark.createDataFrame(trace, "seq bigint, block int")
+    for capacity in (0, 1, 8, 100):
+        lru = cache.BlockCache(capacity)
+        hits = {}
+        for i, b in trace:
+            hits[i] = lru.lookup((0, b))
+            lru.insert((0, b), 1)
+        assert {r["seq"]: r["hit"] for r in cache.equal_blocks(df, capacity).collect()} == hits
+    assert cache.equal_blocks(df.limit(0), 8).collect() == []
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_lru_query_runs_all_accesses(spark):
+    from tidelog.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    lru = cache.BlockCache(20)
+    for r in catalogue.events(spark, sf).orderBy("event_id").select("user_id").collect():
+        lru.lookup((r[0] % 50,))
+        lru.insert((r[0] % 50,), 1)
+    assert catalogue.kv_lru_hits(spark, sf).first()[:2] == (lru.hits, lru.misses) and lru.hits + lru.misses == catalogue.events(spark, sf).count()

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from ..storage import save
+
+#: Accesses that one task runs through in order.
+RANGE_ROWS = 50_000
 
 
 class BlockCache:
@@ -55,14 +62,40 @@ def simulate(trace: DataFrame, capacity: int) -> DataFrame:
 def equal_blocks(trace: DataFrame, capacity_blocks: int) -> DataFrame:
     """``trace`` (``seq``, ``block``) with ``hit`` for blocks of one size: fewer than so many other blocks since the last access.
 
-    For each access the distinct blocks between it and the block's last access are counted, by blocks whose own next
-    access is not inside; only as many accesses back as can matter are looked at.
+    What the cache holds at any place is the blocks used last. Each range of the trace gives its own last used blocks, at
+    most as many as fit; these lists, handed on in order, are what each range begins with, and a range is then run on its own.
     """
-    from pyspark.sql import Window
-
-    of = Window.partitionBy("block").orderBy("seq")
-    linked = trace.select("seq", "block", F.lag("seq").over(of).alias("prev"), F.lead("seq").over(of).alias("next"))
-    again = linked.where("prev is not null").select("seq", "prev")
-    between = again.join(linked.select(F.col("seq").alias("s"), F.col("next").alias("n")), (F.col("s") > F.col("prev")) & (F.col("s") < F.col("seq")) & (F.col("n").isNull() | (F.col("n") > F.col("seq"))), "left")
-    distance = between.groupBy("seq").agg(F.count("s").alias("others"))
-    return trace.join(distance, "seq", "left").withColumn("hit", F.coalesce(F.col("others") < capacity_blocks, F.lit(False))).drop("others")
+    size = max(RANGE_ROWS, 8 * capacity_blocks)  # so the lists are at most about an eighth of the trace
+    ranges = max(1, -(-trace.count() // size))
+    ranged = save(trace.repartitionByRange(ranges, "seq").withColumn("_range", F.spark_partition_id()), "trace")
+    newest = Window.partitionBy("_range").orderBy(F.desc("_last"))
+    lists = ranged.groupBy("_range", "block").agg(F.max("seq").alias("_last")).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= capacity_blocks).drop("_n")
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = OrderedDict(), None
+        for batch in batches:
+            for number, part in batch.groupby("_range"):
+                if at is not None and number != at:
+                    yield pd.DataFrame({"_range": number, "block": list(held), "_last": list(held.values())}).astype(batch.dtypes)
+                at = number
+                for block, last in zip(part.block, part._last):
+                    held.pop(block, None)
+                    held[block] = last
+                while len(held) > capacity_blocks:
+                    held.popitem(last=False)
+
+    def run(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        cache, hits = BlockCache(capacity_blocks), []
+        for block in start.sort_values("_last").block:
+            cache.insert((block,), 1)
+        rows = rows.sort_values("seq")
+        for block in rows.block:
+            hits.append(cache.lookup((block,)))
+            if not hits[-1]:
+                cache.insert((block,), 1)
+        return rows.drop(columns="_range").assign(hit=hits)
+
+    # Ranges times capacity rows, in one task.
+    starts = lists.repartition(1).sortWithinPartitions("_range", "_last").mapInPandas(begin, lists.schema)
+    schema = StructType([*trace.schema.fields, StructField("hit", BooleanType())])
+    return ranged.groupBy("_range").cogroup(starts.groupBy("_range")).applyInPandas(run, schema)

@@ -104,7 +104,7 @@ def kv_write_amp(spark, sf_dir):
 
 
 def kv_lru_hits(spark, sf_dir):
-    trace = events(spark, sf_dir).where("event_id < 1500").select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("block"))
+    trace = events(spark, sf_dir).select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("block"))
     hits = cache.equal_blocks(trace, 20).agg(F.sum(F.col("hit").cast("bigint")).alias("hits"), F.count(F.lit(1)).alias("n"))
     return hits.select("hits", (F.col("n") - F.col("hits")).alias("misses"), (F.col("hits") / F.col("n")).alias("hit_rate"))
 
