@@ -32,3 +32,16 @@ def test_query_equals_sql(spark, duck, name):
     assert normal(df.collect(), df.columns) == normal(want.fetchall(), want.columns)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_every_run_is_looked_up_in_its_own_index(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    # The registered SQL's runs, each with an index of its own.
+    want = con.sql(f"""WITH {catalogue._RUNS},
+placed AS (SELECT run_id, key, floor((sum(9 + length(key) + length(value)) OVER (PARTITION BY run_id ORDER BY key) - 9 - length(key) - length(value)) / 4096)::BIGINT AS block FROM runs),
+idx AS (SELECT run_id, block, min(key) AS first_key FROM placed GROUP BY ALL)
+SELECT run_id, key, (SELECT max(block) FROM idx WHERE first_key <= placed.key AND idx.run_id = placed.run_id) AS block FROM placed""")
+    df = catalogue.kv_sparse_index_lookup(spark, sf)
+    got = df.collect()
+    assert len({r["run_id"] for r in got}) == 11 and normal(got, df.columns) == normal(want.fetchall(), want.columns)

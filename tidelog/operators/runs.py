@@ -62,9 +62,10 @@ def blocks(rows: DataFrame, block_size: int) -> DataFrame:
 
 
 def block_of(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """For each probe and run the block that may hold its key, the last that begins at or before it."""
+    """For each probe and run the block that may hold its key, the last that begins at or before it; a probe with ``run_id`` is for that run alone."""
+    asked = probe if "run_id" in probe.columns else probe.crossJoin(index.select("run_id").distinct())
     both = index.select("run_id", F.col("first_key").alias("key"), "block", F.lit(0).alias("kind")).unionByName(
-        probe.crossJoin(index.select("run_id").distinct()).select("run_id", "key", F.lit(None).cast("bigint").alias("block"), F.lit(1).alias("kind"))
+        asked.select("run_id", "key", F.lit(None).cast("bigint").alias("block"), F.lit(1).alias("kind"))
     )  # a run's index is metadata; probes are answered per run
     upto = Window.partitionBy("run_id").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("block", F.last("block", ignorenulls=True).over(upto)).where("kind = 1 and block is not null").select("run_id", "key", "block")

@@ -88,8 +88,8 @@ def kv_file_overlap(spark, sf_dir):
 
 
 def kv_sparse_index_lookup(spark, sf_dir):
-    rows = run_rows(spark, sf_dir).where("run_id = 0")
-    return runs.block_of(rows.select("key"), runs.blocks(rows, 4096))
+    rows = run_rows(spark, sf_dir)
+    return runs.block_of(rows.select("run_id", "key"), runs.blocks(rows, 4096))
 
 
 def kv_wal_prefix(spark, sf_dir):
