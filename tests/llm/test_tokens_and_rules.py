@@ -83,6 +83,25 @@ def test_local_search_empties_a_bin():
     assert plan.improve() == 1 and sorted(sum(s) for _, n, s in plan.classes for _ in range(n)) == [10, 10]
 
 
+def steps_left(classes, cap):
+    """Moves, one- and two-for-one exchanges that take tokens from a bin to one at least as full."""
+    found = []
+    for free, n, low in classes:
+        gives = {x for x in low} | {low[i] + low[j] for i in range(len(low)) for j in range(i)}
+        for other, m, high in classes:
+            if free and 0 < other <= free and (high != low or n > 1):
+                found += [(low, high) for d in gives for y in (0, *high) if 0 < d - y <= other]
+    return found
+
+
+def test_search_ends_only_where_no_step_is_left():
+    rng = random.Random(8)
+    plan = packing.Plan(Counter(rng.randint(250, 500) for _ in range(20_000)), 2048)
+    before = plan.bins()
+    plan.improve()
+    assert plan.least < plan.bins() < before and not steps_left(plan.classes, 2048)
+
+
 def test_perfect_hash_is_a_bijection():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 1000, 20_000):

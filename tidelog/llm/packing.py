@@ -17,8 +17,10 @@ other; repeated rows are packed once each; an empty table gives no rows; a null
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from .encoding import default_path, encoder
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
+#: Below any room a bin can have.
+NONE = -(1 << 40)
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -50,6 +54,71 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     return arrow_map(docs, ["doc_id", "text"], PIECES, run)
 
 
+class Partners:
+    """Underfull classes by the sizes they hold, for classes looked at from the emptiest on.
+
+    For each size, and for 0 (nothing is taken back), the class with most room among those at least as full as the one looked at
+    is at hand. One emptier than that is not, until the next pass.
+    """
+
+    def __init__(self, capacity: int, count: dict[tuple, int]):
+        self.capacity, self.count = capacity, count
+        self.by_size: list[list] = [[] for _ in range(capacity + 1)]
+        self.sizes = np.arange(capacity + 1)
+        self.room = np.full(capacity + 1, NONE)  # by size: most room in the heap of the size
+        for k in count:
+            if sum(k) < capacity:
+                self.add(k)
+
+    def add(self, key: tuple) -> None:
+        free = self.capacity - sum(key)
+        for y in (0, *dict.fromkeys(key)):
+            heappush(self.by_size[y], (-free, key))
+            self.room[y] = max(self.room[y], free)
+
+    def _tidy(self, y: int, most: int, but: tuple | None) -> None:
+        """Classes of size ``y`` that are gone or emptier than ``most`` leave the heap, and ``but`` does for now."""
+        heap = self.by_size[y]
+        while heap and (-heap[0][0] > most or heap[0][1] not in self.count or heap[0][1] == but):
+            heappop(heap)
+        self.room[y] = -heap[0][0] if heap else NONE
+
+    def best(self, low: tuple) -> tuple[tuple, tuple, tuple] | None:
+        """The move, one-for-one or two-for-one exchange that takes most tokens out of ``low``: (class, given sizes, taken sizes)."""
+        most = self.capacity - sum(low)
+        but = low if self.count[low] == 1 else None
+        for y in np.flatnonzero(self.room > most).tolist():
+            self._tidy(y, most, but)
+        if but:
+            for y in (0, *dict.fromkeys(low)):
+                self._tidy(y, most, but)
+        one = np.array(list(dict.fromkeys(low)))
+        pairs = one[:, None] + one
+        twice = np.array([low.count(x) > 1 for x in one.tolist()])
+        pairs[np.diag_indices(len(one))] = np.where(twice, 2 * one, 0)
+        sums = np.unique(np.concatenate([one, pairs.ravel()]))
+        sums = sums[sums > 0]
+        while True:
+            # The least y for which a class that holds it has room for sum - y.
+            reach = np.maximum.accumulate(self.room + self.sizes)
+            takes = np.searchsorted(reach, sums)
+            gains = sums - takes
+            gains[(takes > self.capacity) | (gains <= 0)] = 0
+            at = int(np.argmax(gains))
+            y = int(takes[at])
+            if not gains[at] or self.by_size[y][0][1] in self.count:
+                break
+            self._tidy(y, most, but)  # a class that is gone
+        step = None
+        if gains[at]:
+            d = int(sums[at])
+            give = (d,) if d in low else next((x, d - x) for x in low if d - x in low and (2 * x != d or low.count(x) > 1))
+            step = (self.by_size[y][0][1], give, (y,) if y else ())
+        if but:
+            self.add(low)
+        return step
+
+
 class Plan:
     """Bins by class: ``classes`` holds ``[free, count, sizes]`` with ``sizes`` ascending."""
 
@@ -89,70 +158,52 @@ class Plan:
                     keep(free, count - full - bool(rest), contents)
         return [[free, count, sorted(s for s, k in held for _ in range(k))] for free, _, count, held in (*done, *opened)]
 
-    def improve(self, scans: int = 2_000_000) -> int:
-        """Take documents out of the emptiest bins until no step is left, the lower bound is met or so many classes were looked at.
+    def improve(self, scans: int | None = None) -> int:
+        """Take documents out of the emptiest bins until no step is left or the lower bound is met; with ``scans``, after so many looks at most.
 
         Every step raises the sum of squared fills, as it takes tokens from a bin to one at least as full. It is done in as many like
-        bins at once as there are. Returns the number of bins saved.
+        bins at once as there are. Classes are looked at in passes from the emptiest on, and the last pass finds no step for any.
+        Returns the number of bins saved.
         """
-        before, stuck = self.bins(), set()
-        count = {}
+        before, count = self.bins(), {}
         for _, n, sizes in self.classes:
             count[tuple(sizes)] = count.get(tuple(sizes), 0) + n
-        bins = sum(count.values())
-        free = {k: self.capacity - sum(k) for k in count}
-        while bins > self.least and scans > 0:
-            underfull = [k for k in count if free[k]]
-            left = [k for k in underfull if k not in stuck]
-            if not left:
-                break
-            low = max(left, key=lambda k: (free[k], k))
-            others = [(free[k], k) for k in underfull if free[k] <= free[low] and (k != low or count[k] > 1)]
-            scans -= len(underfull)
-            best = self._best_step(list(low), others)
-            if best is None:
-                stuck.add(low)
-                continue
-            _, high, give, take = best
-            n = count[low] // 2 if high == low else min(count[low], count[high])
-            for key, out, into in ((low, give, take), (high, take, give)):
-                count[key] -= n
-                if not count[key]:
-                    del count[key]
-                sizes = list(key)
-                for x in out:
-                    sizes.remove(x)
-                if new := tuple(sorted([*sizes, *into])):
+        bins, changed = sum(count.values()), True
+        while changed and bins > self.least and scans != 0:
+            changed, partners = False, Partners(self.capacity, count)
+            left = [(-free, k) for k in count if (free := self.capacity - sum(k))]
+            heapify(left)
+            while left and bins > self.least and scans != 0:
+                low = heappop(left)[1]
+                if low not in count:
+                    continue
+                scans = scans and scans - 1
+                step = partners.best(low)
+                if step is None:
+                    continue
+                changed = True
+                high, give, take = step
+                n = count[low] // 2 if high == low else min(count[low], count[high])
+                for key, out, into in ((low, give, take), (high, take, give)):
+                    count[key] -= n
+                    if not count[key]:
+                        del count[key]
+                    sizes = list(key)
+                    for x in out:
+                        sizes.remove(x)
+                    new = tuple(sorted([*sizes, *into]))
+                    if not new:
+                        bins -= n
+                        continue
                     count[new] = count.get(new, 0) + n
-                    free[new] = self.capacity - sum(new)
-                else:
-                    bins -= n
-            stuck.clear()
-        self.classes = [[free[k], n, list(k)] for k, n in count.items()]
+                    if free := self.capacity - sum(new):
+                        partners.add(new)
+                        heappush(left, (-free, new))
+                if low in count:
+                    heappush(left, (sum(low) - self.capacity, low))
+        self.classes = [[self.capacity - sum(k), n, list(k)] for k, n in count.items()]
         return before - bins
 
-    @staticmethod
-    def _best_step(low: list[int], bins: list[tuple[int, tuple]]):
-        """The move or exchange that takes most tokens out of the low bin: (gain, class, given sizes, taken sizes)."""
-        best = None
-        for free, c in bins:
-            if best and best[0] >= free:
-                continue
-            k = bisect_right(low, free)
-            if k and (best is None or low[k - 1] > best[0]):
-                best = (low[k - 1], c, (low[k - 1],), ())
-            sizes = c
-            for i, x in enumerate(low):
-                j = bisect_left(sizes, x - free)  # the smallest that makes room
-                if j < len(sizes) and 0 < x - sizes[j] and (best is None or x - sizes[j] > best[0]):
-                    best = (x - sizes[j], c, (x,), (sizes[j],))
-                if i:
-                    y = low[i - 1]
-                    j = bisect_left(sizes, x + y - free)
-                    if j < len(sizes) and 0 < x + y - sizes[j] and (best is None or x + y - sizes[j] > best[0]):
-                        best = (x + y - sizes[j], c, (x, y), (sizes[j],))
-        return best
-
     def slots(self) -> list[tuple[int, int, int, int, int, int]]:
         """``(length, low, high, per bin, first sequence, offset)``: the pieces numbered low to high (exclusive) of a length fill
         their bins in turn, so many to a bin from that offset on."""
@@ -183,7 +234,7 @@ def numbered(pieces: DataFrame, salts: int) -> DataFrame:
     return ranked.join(F.broadcast(bases), ["length", "_salt"]).withColumn("number", F.col("_base") + F.col("_rank")).drop("_salt", "_rank", "_base")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, scans: int = 2_000_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, scans: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces (as ``PIECES``) that can be read again at no great cost."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
