@@ -102,6 +102,13 @@ def test_search_ends_only_where_no_step_is_left():
     assert plan.least < plan.bins() < before and not steps_left(plan.classes, 2048)
 
 
+def test_two_for_one_takes_any_pair_of_a_bin():
+    plan = packing.Plan({}, 40)
+    plan.classes, plan.least = [[21, 1, [4, 6, 9]], [1, 1, [12, 27]]], 1
+    plan.improve()
+    assert sorted(sizes for _, _, sizes in plan.classes) == [[4, 9, 27], [6, 12]]
+
+
 def test_perfect_hash_is_a_bijection():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 1000, 20_000):
