@@ -192,6 +192,13 @@ def test_secrets_found_and_look_alikes_left(documents, forest):
         assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_secrets_without_digits(documents, forest):
+    stripe, base, password, mixed = "sk_live_" + "QwErTyUiOpAsDfGhJkLzXcVb", "kQzWvXpRtLmNbGhJdSfY", "zqkvhwxmpjrtb", "GhTpLkRwQzXvBnMdKs"
+    docs = documents([(1, f'x api_key = "{stripe}" y'), (2, f"words secret:{base} words"), (3, f"words password={password} words"), (4, f'set token = "{mixed}" here'), (5, "the internationalization of getUserNameByAddress and SOME_CONSTANT_NAME"), (6, "password authentication thetionerandwhichwas onreonwhndti"), (7, "see https://example.com/en/some-page-with-name now"), (8, "one path/to/some/file and another-long-hyphenated-name"), (9, "words AKIAQZXWMKVXNZLP words"), (10, "x secret=QZXWMKVXNZLPRTYHGQWK y"), (11, "THE GEKEITSCHEINBECH SHOUTS")])
+    got = sorted((r["doc_id"], r["secret"]) for r in secrets.scan(docs, forest).collect())
+    assert got == [(1, stripe), (2, base), (3, password), (4, mixed), (9, "AKIAQZXWMKVXNZLP"), (10, "QZXWMKVXNZLPRTYHGQWK")]
+
+
 # ---- nearest neighbours
 
 

@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false findings; DataFrame functions and JVM learners only.
 
 A *candidate* is a run of at least ``MIN_LENGTH`` letters, digits and ``+/_-``
-inside one word that holds a letter and a digit, or 16 capitals on end. It is described by its length,
+inside one word that holds a letter; that it looks like a secret is the forest's to say. It is described by its length,
 the transitions between kinds of characters, its digits, its coverage by
 dictionary words, the path it was found under, and the words beside it. A random
 forest trained from labelled findings keeps the real ones.
@@ -30,7 +30,8 @@ from .common import table
 
 MIN_LENGTH = 12
 MASK = "[SECRET]"
-LIKELY = "[0-9]|[A-Z]{16}"
+#: Kinds of labelled findings.
+FORMS = 41
 
 # Words that speak for a secret, words that speak against one, parts of paths of files without real ones, common parts of words.
 FOR = "password passwd pwd secret token apikey api_key key auth bearer credential credentials private access client_secret".split()
@@ -56,12 +57,12 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None) ->
     words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x00-\x20]+", " ")), " ")
     run = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
     # Whole texts without such a run are passed over before their words are cut.
-    there = docs.where(F.col(text).rlike(LIKELY) & F.col(text).rlike(run)).select(*kept, words.alias("_words"))
+    there = docs.where(F.col(text).rlike(run)).select(*kept, words.alias("_words"))
     named = F.transform("_words", lambda w, i: F.struct(i.alias("no"), w.alias("word")))
-    hits = there.select(*kept, "_words", F.explode(F.filter(named, lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike(LIKELY) & x["word"].rlike(run))).alias("_hit"))
+    hits = there.select(*kept, "_words", F.explode(F.filter(named, lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike(run))).alias("_hit"))
     near = lambda d: F.coalesce(F.get("_words", F.col("_hit.no") + d), F.lit(""))
     word = F.col("_hit.word")
-    found = F.explode(F.filter(F.regexp_extract_all(word, F.lit(f"({run})"), F.lit(1)), lambda x: x.rlike(LIKELY) & x.rlike("[A-Za-z]")))
+    found = F.explode(F.filter(F.regexp_extract_all(word, F.lit(f"({run})"), F.lit(1)), lambda x: x.rlike("[A-Za-z]")))
     named_hits = hits.select(*kept, F.col("_hit.no").alias("word_no"), word.alias("word"), F.concat_ws(" ", near(-2), near(-1)).alias("before"), near(1).alias("after"), found.alias("secret"))
     return named_hits.withColumn("path", F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit(""))
 
@@ -100,14 +101,17 @@ def described(found: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     """``n`` findings made by rule: ``secret``, ``word``, ``before``, ``after``, ``path`` and ``label``."""
-    base = spark.range(n).select("id", F.pmod("id", F.lit(20)).alias("kind"))
+    base = spark.range(n).select("id", F.pmod("id", F.lit(FORMS)).alias("kind"))
     part = lambda salt: F.md5(F.concat_ws("-", F.lit(salt), F.col("id")))
     hexes = F.concat(part("a"), part("b"), part("c"))
     upper = F.translate(F.upper(hexes), "0189", "QXYZ")
     mixed = F.translate(F.base64(F.unhex(hexes)), "=", "")
+    letters = F.translate(mixed, "0123456789+/", "ghkmpqrtvwXZ")
+    lower = F.lower(letters)
     pick = lambda words, salt: F.element_at(F.array(*(F.lit(w) for w in words)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(words))) + 1).cast("int"))
     phrase = lambda k, sep: F.concat_ws(sep, *(pick(DICTIONARY, f"w{i}") for i in range(k)))
     size = lambda low, high: (F.pmod(F.xxhash64(F.lit("size"), "id"), F.lit(high - low + 1)) + low).cast("int")
+    camel = lambda k: F.translate(F.initcap(phrase(k, " ")), " ", "")
     lit, none = F.lit, F.lit("")
     key = pick(["password", "secret", "token", "api_key", "apikey", "auth", "passwd", "client_secret"], "key")
     plain = pick(["the", "over", "which", "was", "and", "of", "un", "der", "que", "in"], "plain")
@@ -135,7 +139,30 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (0, F.concat(lit("555-"), short.cast("string"), lit("-x"), short.cast("string")), none, pick(["phone", "tel", "call"], "c")),
         (0, F.concat(lit("change"), phrase(2, ""), lit("123")), F.concat(key, lit("=")), pick(["example", "sample", "placeholder"], "c")),
         (0, F.concat(lit("example"), phrase(2, "_"), lit("12345")), lit('"'), F.concat(key, lit(" ="))),
+        # without digits
+        (1, F.substring(letters, lit(1), size(12, 40)), F.concat(key, lit("=")), plain),
+        (1, F.substring(letters, lit(1), size(12, 44)), lit('"'), F.concat(key, lit(" ="))),
+        (1, F.substring(lower, lit(1), size(12, 24)), F.concat(key, lit("=")), plain),
+        (1, F.substring(lower, lit(1), size(12, 24)), lit('"'), F.concat(key, lit(" ="))),
+        (1, F.concat(pick(["sk_live_", "ghp_", "glpat-"], "prefix"), F.substring(letters, lit(1), size(20, 36))), none, plain),
+        (0, phrase(4, ""), none, plain),
+        (0, phrase(4, ""), none, key),
+        (0, phrase(4, ""), F.concat(pick(["note", "see", "name", "title"], "c"), lit("=")), plain),
+        (0, F.substring(lower, lit(1), size(12, 24)), none, plain),
+        (0, F.substring(lower, lit(1), size(12, 24)), none, key),
+        (0, F.substring(lower, lit(1), size(12, 24)), lit('"'), plain),
+        (0, F.upper(F.substring(lower, lit(1), size(12, 24))), none, plain),
+        (0, F.upper(phrase(4, "")), none, plain),
+        (0, F.initcap(F.substring(lower, lit(1), size(12, 24))), none, plain),
+        (0, phrase(3, "_"), none, plain),
+        (0, F.upper(phrase(3, "_")), none, plain),
+        (0, phrase(3, "-"), lit("https://example.com/en/"), plain),
+        (0, phrase(3, "/"), none, plain),
+        (0, camel(3), none, plain),
+        (0, camel(3), F.concat(key, lit("=")), plain),
+        (0, phrase(3, "_"), lit('"'), F.concat(key, lit(" ="))),
     ]
+    assert len(forms) == FORMS
     choose = lambda at: F.element_at(F.array(*(x[at] if isinstance(x[at], Column) else F.lit(x[at]) for x in forms)), (F.col("kind") + 1).cast("int"))
     return base.select(choose(0).alias("label"), choose(1).alias("secret"), F.concat(choose(2), choose(1)).alias("word"), choose(3).alias("before"), none.alias("after"), pick(["", "src/app.py", "tests/fixture.json", "web"], "path").alias("path"))
 
