@@ -45,3 +45,14 @@ SELECT run_id, key, (SELECT max(block) FROM idx WHERE first_key <= placed.key AN
     df = catalogue.kv_sparse_index_lookup(spark, sf)
     got = df.collect()
     assert len({r["run_id"] for r in got}) == 11 and normal(got, df.columns) == normal(want.fetchall(), want.columns)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_merge_with_tombstones_takes_all_runs(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.sql(f"WITH {catalogue._RUNS} {catalogue._NEWEST.format('runs')}")
+    df = catalogue.kv_merge_keep_tombstones(spark, sf)
+    got = df.collect()
+    assert any(r["tomb"] for r in got) and normal(got, df.columns) == normal(want.fetchall(), want.columns)

@@ -69,7 +69,7 @@ def kv_flush_runs(spark, sf_dir):
 
 
 def kv_merge_keep_tombstones(spark, sf_dir):
-    return runs.compact(run_rows(spark, sf_dir).where("run_id <= 3").drop("run_id"), bottommost=False)
+    return runs.compact(run_rows(spark, sf_dir).drop("run_id"), bottommost=False)
 
 
 def kv_compact_bottommost(spark, sf_dir):
