@@ -9,6 +9,8 @@ import pytest
 from tidelog.llm import common, jaccard, substrings
 from tidelog.llm.components import components
 
+from .conftest import words
+
 
 def shingles(text, size):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -117,13 +119,20 @@ def expected_removal(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("width", "group"), [(35, 2000), (35, 1), (10, 2000), (10, 1), (50, 2000)])
-def test_removal_equals_brute_force(documents, corpus, monkeypatch, width, group):
-    monkeypatch.setattr(substrings, "GROUP", group)
-    got = Counter(tuple(r)[:4] for r in substrings.dedup(documents(corpus), width).collect())
+@pytest.mark.parametrize(("width", "most"), [(35, 2000), (35, 5), (35, 1), (10, 2000), (10, 1), (50, 3)])
+def test_removal_equals_brute_force(documents, corpus, width, most):
+    got = Counter(tuple(r)[:4] for r in substrings.dedup(documents(corpus), width, most=most).collect())
     assert got == expected_removal(corpus, width)
 
 
+def test_removal_of_a_hot_passage_in_many_contexts(documents):
+    rng = random.Random(6)
+    passage = words(rng, 45)
+    rows = [(i, words(rng, rng.randrange(0, 30)) + " " + passage + " " + words(rng, rng.randrange(0, 30))) for i in range(150)]
+    got = Counter(tuple(r)[:4] for r in substrings.dedup(documents(rows), most=20).collect())
+    assert got == expected_removal(rows, 35)
+
+
 def test_removal_gives_texts_back(documents):
     a = " ".join(f"w{i}" for i in range(40))
     got = {r["doc_id"]: r["kept"] for r in substrings.dedup(documents([(1, a + " end"), (2, "start " + a), (3, None)]), texts=True).collect()}
@@ -133,14 +142,22 @@ def test_removal_gives_texts_back(documents):
         substrings.dedup(documents([]), 5)
 
 
-def test_equal_suffixes():
+def test_suffix_tree():
     rng = np.random.default_rng(1)
-    words = rng.integers(0, 2, 300).astype(np.uint64)
-    for width in (1, 2, 3, 5, 7):
-        node = substrings.equal_suffixes(words, width)
-        for i in range(0, 290, 7):
-            for j in range(0, 290, 11):
-                assert (node[i] == node[j]) == bool((words[i : i + width] == words[j : j + width]).all())
+    strings = [rng.integers(0, 2, n).astype(np.uint64) for n in (1, 5, 40, 40, 63)]
+    strings.append(strings[3].copy())
+    suffixes = [tuple(x[i:]) for x in strings for i in range(len(x))]
+    tree = substrings.SuffixTree(strings, np.arange(len(suffixes)))
+    ordered = [suffixes[i] for i in tree.leaves]
+    assert sorted(tree.leaves) == list(range(len(suffixes)))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert [common(a, b) for a, b in zip(ordered, ordered[1:])] == tree.common.tolist()
+    for depth in (1, 3, 8):
+        node = tree.nodes(depth)
+        for i in range(0, len(ordered), 3):
+            for j in range(0, len(ordered), 2):
+                a, b = ordered[i], ordered[j]
+                assert (node[i] == node[j]) == (i == j or common(a, b) >= depth)
 
 
 def test_only_shared_over_batches(spark):

@@ -307,4 +307,29 @@ def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS row_no, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (
+  SELECT row_no, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n
+  FROM (SELECT row_no, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts)
+),
+shingles AS (
+  SELECT DISTINCT row_no, shingle FROM (
+    SELECT row_no, i, n, string_agg(word, ' ') OVER (PARTITION BY row_no ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS shingle FROM words
+  ) WHERE i + 3 <= n OR i = 1
+),
+sets AS (SELECT row_no, count(*) AS n_shingles, md5(string_agg(md5(shingle), '' ORDER BY shingle)) AS class FROM shingles GROUP BY row_no),
+classes AS (SELECT class, min(row_no) AS row_no, any_value(n_shingles) AS n FROM sets GROUP BY class),
+tokens AS (SELECT row_no, shingle, n FROM shingles JOIN classes USING (row_no)),
+pairs AS (SELECT a.row_no AS x, b.row_no AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM tokens a JOIN tokens b ON a.shingle = b.shingle AND a.row_no < b.row_no GROUP BY a.row_no, b.row_no),
+links AS (SELECT x, y FROM pairs WHERE 100 * common >= 85 * (nx + ny - common)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT row_no AS x, row_no AS y FROM classes UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+labels AS (SELECT x AS row_no, min(y) AS label FROM reach GROUP BY x),
+named AS (SELECT s.row_no, l.label, s.n_shingles FROM sets s JOIN classes c USING (class) JOIN labels l ON l.row_no = c.row_no),
+components AS (SELECT label, min(doc_id) AS component_id FROM named JOIN texts USING (row_no) GROUP BY label)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM texts LEFT JOIN named USING (row_no) LEFT JOIN components USING (label)
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 
-ORACLE_SQL = {"op8_url_rules": url_rules.OP8_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard": jaccard.OP3_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_url_rules": url_rules.OP8_SQL}
