@@ -174,6 +174,25 @@ def test_url_rules_equal_brute_force(spark):
     assert url_rules.judge(pages.limit(0), rules).collect() == []
 
 
+def test_url_rules_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows: what is open at a range's end must be handed to the ranges after it."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    rng = random.Random(12)
+    rules = [(".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))), "/" + "".join(rng.choice(["x/", "y/"]) for _ in range(rng.randrange(0, 4))), rng.choice(["allow", "block"])) for _ in range(60)]
+    urls = [f"http://{'.'.join(rng.choice('abcd') for _ in range(rng.randrange(1, 5)))}/{''.join(rng.choice(['x/', 'y/', 'z']) for _ in range(rng.randrange(0, 6)))}{i if i % 3 else ''}" for i in range(20_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    monkeypatch.setattr(url_rules.stacks_of, "__defaults__", (7,))
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["page_id"]: tuple(r)[1:] for r in url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: plain_judge(u, rules) for i, u in enumerate(urls)}
+
+
 def test_url_plan_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
     plan = url_rules.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))._jdf.queryExecution().toString()
