@@ -117,6 +117,56 @@ def test_perfect_hash_is_a_bijection():
         assert np.array_equal(np.sort(h.slots(keys)), np.arange(len(keys)))
 
 
+def fewest_bins(sizes, capacity):
+    """The optimum by trying everything."""
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for b in {free: k for k, free in enumerate(bins) if free >= sizes[i]}.values():
+            place(i + 1, [free - sizes[i] * (k == b) for k, free in enumerate(bins)])
+        place(i + 1, [*bins, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_near_the_optimum_of_small_inputs():
+    rng = random.Random(21)
+    over = 0
+    for _ in range(150):
+        sizes = sorted((rng.randrange(2, 15) for _ in range(rng.randrange(4, 11))), reverse=True)
+        plan = packing.Plan(Counter(sizes), 16)
+        plan.improve()
+        assert sorted((x for _, n, held in plan.classes for x in held * n), reverse=True) == sizes and all(sum(held) <= 16 for _, _, held in plan.classes)
+        over += plan.bins() - fewest_bins(sizes, 16)
+    assert over <= 3
+
+
+def test_a_file_that_cuts_otherwise_goes_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidelog.llm.encoding import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  World's 123 tests", "", "ünïcode\n\n x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode_all(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_frequent_length_is_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_PIECES", 7)
+    pieces = spark.createDataFrame([(i, 0, 0, 10 if i % 3 else 5, i) for i in range(200)], packing.PIECES)
+    got = packing.numbered(pieces, {10: 133, 5: 67}).collect()
+    for length, n in ((10, 133), (5, 67)):
+        assert sorted(r["number"] for r in got if r["length"] == length) == list(range(n))
+
+
 def test_shards(spark, documents, whole):
     rows = [(i * 3, "text number %d of many" % i) for i in range(200)] + [(5, "a"), (5, "b"), (5, "a"), (None, "null key"), (-7, ""), (9, None)]
     manifest = token_store.write_shards(documents(rows), fresh_path(spark, "test-tokens"), limit=700)

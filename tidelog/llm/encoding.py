@@ -3,11 +3,13 @@
 The byte-level tokenizer cuts a text into pieces by a pattern and encodes each
 piece on its own, so a text's ids are its pieces' ids in order. Pieces are kept
 in a cache; only unseen ones go to the tokenizers library. A text that holds the
-string of a special token is given to the library whole.
+string of a special token is given to the library whole, and so are all texts
+where the file cuts by another pattern or changes texts before.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -24,6 +26,15 @@ _WIDE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _PLAIN = re.compile("[^\t\n\r -~¡-©«-±´-¸»¿-ÿ]")
 
 
+def cuts_alike(path: str) -> bool:
+    """Whether the tokenizer of the file cuts texts by the pattern above and encodes each piece alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    own = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return own and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, without an end id."""
 
@@ -35,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = regex.compile(_WIDE)
+        self.alike = cuts_alike(path)
         self.known: dict[str, bytes] = {}
         self.passing: list[str] = []
 
@@ -49,7 +61,7 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = []
         for text in texts:
-            if any(s in text for s in self.special):
+            if not self.alike or any(s in text for s in self.special):
                 cut.append(None)
             else:
                 cut.append((self.wide if _PLAIN.search(text) else _NARROW).findall(text))

@@ -29,6 +29,8 @@ from .encoding import default_path, encoder
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
+#: Pieces of a length that are numbered by one task, and the most such parts that there are besides one a length.
+PART_PIECES, MOST_PARTS = 1000, 200_000
 #: Below any room a bin can have.
 NONE = -(1 << 40)
 
@@ -223,10 +225,14 @@ class Plan:
         return out
 
 
-def numbered(pieces: DataFrame, salts: int) -> DataFrame:
-    """``pieces`` with ``number``, from 0 within each length. A length is numbered in ``salts`` parts, so that none is one task's."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # at most lengths x salts rows
+def numbered(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """``pieces`` with ``number``, from 0 within each length. A frequent length is numbered in parts, so that none is one task's."""
+    # A part has so many pieces, and all lengths together MOST_PARTS and one each at most.
+    each = max(PART_PIECES, -(-sum(histogram.values()) // MOST_PARTS))
+    split = {length: -(-n // each) for length, n in histogram.items() if n > each}
+    parts = F.coalesce(F.create_map(*(F.lit(x) for kv in split.items() for x in kv))[F.col("length")], F.lit(1)) if split else F.lit(1)
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), parts))
+    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inner = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
@@ -241,9 +247,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, scans: int | None = None)
     plan = Plan(histogram, capacity)
     plan.improve(scans)
     slots = spark.createDataFrame(plan.slots(), "length bigint, low bigint, high bigint, per_bin bigint, base bigint, at bigint")
-    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.col("number") - F.col("low")
-    joined = numbered(pieces, salts).join(F.broadcast(slots), "length").where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("high")))
+    joined = numbered(pieces, histogram).join(F.broadcast(slots), "length").where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("high")))
     return joined.select(
         *(c for c in pieces.columns),
         (F.col("base") + F.floor(place / F.col("per_bin"))).cast("bigint").alias("sequence_id"),
