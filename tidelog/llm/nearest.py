@@ -1,21 +1,28 @@
 """Approximate nearest neighbours by cosine over balanced posting lists.
 
-Centroids are trained on a bounded sample of unit vectors. Every vector goes to
-the list of its nearest centroid, and, where it lies near a boundary, to further
-ones: those within ``(1 + slack)`` of the least distance, unless a centroid
-already taken is nearer to the new one than the vector is. A list with more
-vectors than ``list_size`` is dealt into parts of that size, so no list is one
-task's whatever its share. A query finds centroids by walking a neighbour graph
-in memory, and takes the lists within a distance ratio of the nearest.
-
-Scores are cosines of the original vectors in double precision, summed in the
-order of the components, so equal vectors score alike wherever they are.
+Centroids are trained on a bounded sample of unit vectors; there are about as
+many as the square root of the number of vectors. Every vector goes to the list
+of its nearest centroid, and, where it lies near a boundary, to further ones:
+those within ``(1 + slack)`` of the least distance, unless a centroid already
+taken is nearer to the new one than the vector is. A query finds centroids by
+walking a neighbour graph in memory, and takes the lists within a distance ratio
+of the nearest. A list with more vectors than ``list_size`` is dealt into parts,
+and the queries of a list into pieces, so no list is one task's whatever its
+share or the number of queries.
+
+Scores are cosines of the original vectors in double precision, each scaled by a
+power of two so that no square is too large or small, and summed in the order of
+the components, so equal vectors score alike wherever they are.
+
+The sample has ``SAMPLE`` vectors, or eight a list where there are more lists, but
+never more than ``MOST_SAMPLE``; beyond that the lists grow longer, in more parts.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part; with fewer candidates than ``k`` all
-found are returned; ties go to the smaller id, then repeated ids get a rank each;
-a row with a null id is searched but never a query; an empty table gives no
-rows; other columns are ignored.
+null or non-finite components take no part, nor do rows with a null id; with
+fewer candidates than ``k`` all found are returned; ties go to the smaller id;
+rows that repeat an id are vectors of their own, each with a rank, but never
+candidates of their id's queries, and each of several queries of one id gets
+``k`` ranks only; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import as_long, hash_spans, save, table
 
-#: Vectors of the training sample, the most centroids, and vectors of one part of a list.
-SAMPLE, MOST_LISTS, LIST_SIZE = 20_000, 2048, 2000
+#: Vectors of the training sample, and the most there can be, whatever the table.
+SAMPLE, MOST_SAMPLE = 20_000, 200_000
+#: Vectors of one part of a list, and queries of one piece.
+LIST_SIZE, PIECE = 2000, 1000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,13 +48,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest component is between 1/2 and 1: exact, and squares don't overflow or vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows, summed in the order of the components."""
+    a, b = scaled(a), scaled(b)
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for j in range(a.shape[1]):
         dot += a[:, j] * b[:, j]
@@ -67,17 +82,20 @@ class Index(NamedTuple):
         distinct = np.unique(x, axis=0)
         c = distinct[rng.permutation(len(distinct))[:lists]]
         size = np.zeros(len(c))
+        blocks = [slice(i, i + 4096) for i in range(0, len(x), 4096)]
         for _ in range(rounds):
-            near = (x @ c.T - 0.005 * size * len(c) / len(x)).argmax(1)
+            near = np.concatenate([(x[b] @ c.T - 0.005 * size * len(c) / len(x)).argmax(1) for b in blocks])
             size = np.bincount(near, minlength=len(c)).astype(float)
             total = np.zeros_like(c)
             np.add.at(total, near, x)
             moved = np.sqrt((total**2).sum(1)) > 1e-9
             c[moved] = unit(total[moved])
-        close = c @ c.T
-        np.fill_diagonal(close, -2)
         degree = min(degree, len(c) - 1)
-        graph = np.argsort(-close, axis=1)[:, :degree] if degree else np.zeros((len(c), 0), np.int64)
+        graph = np.zeros((len(c), degree), np.int64)
+        for b in range(0, len(c) if degree else 0, 1024):
+            close = c[b : b + 1024] @ c.T
+            close[np.arange(len(close)), b + np.arange(len(close))] = -2
+            graph[b : b + 1024] = np.argsort(-close, axis=1)[:, :degree]
         entry = rng.permutation(len(c))[: max(1, int(4 * np.sqrt(len(c))))]
         return cls(c, graph, entry)
 
@@ -133,7 +151,7 @@ class Index(NamedTuple):
 def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
     v = F.col(vector)
     sound = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    return rows.where(sound).select(F.col(id_column).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v"))
+    return rows.where(sound & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
 def _mapped(df: DataFrame, sent, schema: str, f) -> DataFrame:
@@ -148,66 +166,91 @@ def _mapped(df: DataFrame, sent, schema: str, f) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", replicas: int = 2, slack: float = 0.1, probes: int = 1024, ratio: float = 1.25, list_size: int = LIST_SIZE) -> DataFrame:
+def _share(n: int, wanted: int):
+    """A condition that a hash of the id meets for about ``wanted`` of ``n`` rows."""
+    of = 1 << 30
+    return F.pmod(F.xxhash64("vec_id"), F.lit(of)) < min(of, -(-of * wanted // n))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", replicas: int = 2, slack: float = 0.1, probes: int = 1024, ratio: float = 1.22, list_size: int = LIST_SIZE, piece: int = PIECE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest rows to each query, itself excepted."""
     spark = rows.sparkSession
     base = usable(rows, id_column, vector)
     width = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    base, asked = base.where(F.size("v") == width["n"]), usable(queries, id_column, vector).where((F.size("v") == width["n"]) & F.col("vec_id").isNotNull())
+    base, asked = base.where(F.size("v") == width["n"]), usable(queries, id_column, vector).where(F.size("v") == width["n"])
     total = width["count"]
-    # A hash takes about SAMPLE rows whatever the input; every row is indexed.
-    of = 1 << 30
-    taken = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(of)) < min(of, -(-of * SAMPLE // total)))
-    sample = np.array([r["v"] for r in taken.select("v").collect()] or [base.first()["v"]], float)
-    lists = int(min(MOST_LISTS, max(1, np.sqrt(total))))
-    sent = spark.sparkContext.broadcast(Index.build(sample, lists))  # at most MOST_LISTS centroids
+    lists = max(1, int(np.sqrt(total)))
+    wanted = min(MOST_SAMPLE, max(SAMPLE, 8 * lists))
+    taken = base.where(_share(total, wanted)).limit(2 * wanted).select("v").toArrow().column("v").chunks
+    sample = np.concatenate([matrix(x) for x in taken]) if sum(map(len, taken)) else np.array([base.first()["v"]], float)
+    # As many centroids as an eighth of the sample at most.
+    sent = spark.sparkContext.broadcast(Index.build(sample, min(lists, max(SAMPLE, wanted) // 8)))
     schema = "list int, vec_id bigint, v array<double>"
     posted = save(_mapped(base, sent, schema, lambda index, x: index.lists(x, replicas, slack)), "postings")
-    sizes = posted.groupBy("list").agg((F.floor(F.count(F.lit(1)) / F.lit(list_size)) + 1).cast("int").alias("parts"))  # a row per list
-    parted = posted.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")).cast("int")).drop("parts")
-    wanted = _mapped(asked, sent, schema, lambda index, x: index.probes(x, probes, ratio)).join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = parted.groupBy("list", "part").cogroup(wanted.groupBy("list", "part")).applyInArrow(_nearest(k), "query_id bigint, vec_id bigint, score double, copy int")
-    # A vector that stands in several lists comes back once: the lists give its copies the same numbers.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
+    probed = save(_mapped(asked, sent, schema, lambda index, x: index.probes(x, probes, ratio)), "probes")
+    found = _top(_meet(posted, probed, k, list_size, piece), k)
+    # A query whose lists hold fewer than k candidates goes to all lists.
+    found = save(found, "nearest")
+    short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    if short.limit(1).count():
+        anywhere = save(short.select(F.explode(F.sequence(F.lit(0), F.lit(len(sent.value.centroids) - 1))).alias("list"), "vec_id", "v"), "probes")
+        more = _top(_meet(posted, anywhere, k, list_size, piece), k)
+        found = found.join(more.select("query_id").distinct(), "query_id", "left_anti").unionByName(more)
+    return found
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """A vector that stands in several lists comes back once: every list gives like rows of an id the same numbers."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "vector", "copy")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _meet(posted: DataFrame, probed: DataFrame, k: int, list_size: int, piece: int) -> DataFrame:
+    """The ``k`` nearest of each part of a list to each query that takes the list."""
+    number = lambda of, n, name: of.groupBy("list").agg((F.floor(F.count(F.lit(1)) / F.lit(n)) + 1).cast("int").alias(name))
+    plan = F.broadcast(number(posted, list_size, "parts").join(number(probed, piece, "pieces"), "list"))  # a row per list
+    of = lambda name, n: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.col(n)).cast("int").alias(name)
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    place = ["list", "part", "piece"]
+    members = posted.join(plan, "list").select("list", of("part", "parts"), every("piece", "pieces"), "vec_id", "v")
+    asking = probed.join(plan, "list").select("list", every("part", "parts"), of("piece", "pieces"), "vec_id", "v")
+    return members.groupBy(*place).cogroup(asking.groupBy(*place)).applyInArrow(_nearest(k), "query_id bigint, vec_id bigint, score double, vector bigint, copy int")
+
+
 def _nearest(k: int):
-    names = ["query_id", "vec_id", "score", "copy"]
+    names = ["query_id", "vec_id", "score", "vector", "copy"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[] for _ in names]
         if left.num_rows and right.num_rows:
-            null = left.column("vec_id").is_null().to_numpy(zero_copy_only=False)
-            ids = left.column("vec_id").fill_null(0).to_numpy()
-            x = matrix(left.column("v").combine_chunks() if isinstance(left.column("v"), pa.ChunkedArray) else left.column("v"))
-            qid, q = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks() if isinstance(right.column("v"), pa.ChunkedArray) else right.column("v"))
+            of = lambda t, name: pa.concat_arrays(t.column(name).chunks)
+            ids, x = of(left, "vec_id").to_numpy(), matrix(of(left, "v"))
+            qid, q = of(right, "vec_id").to_numpy(), matrix(of(right, "v"))
             order = np.lexsort((*x.T[::-1], ids))
-            ids, x, null = ids[order], x[order], null[order]
+            ids, x = ids[order], x[order]
             same = np.zeros(len(ids), bool)
-            same[1:] = ids[1:] == ids[:-1]
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))
-            copy = np.arange(len(ids)) - first
+            same[1:] = (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]).all(1)
+            copy = np.arange(len(ids)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))
+            content = hash_spans(np.ascontiguousarray(x + 0.0).view(np.uint8).ravel(), np.arange(len(x)) * x.shape[1] * 8, np.arange(1, len(x) + 1) * x.shape[1] * 8)
             ux, uq = unit(x), unit(q)
             for at in range(0, len(q), 256):
                 close = uq[at : at + 256] @ ux.T
                 close[qid[at : at + 256, None] == ids[None, :]] = -9  # its own row, and further rows of the same id
-                close[:, null] = -9
                 kth = np.partition(close, -min(k, close.shape[1]), axis=1)[:, -min(k, close.shape[1])]
                 row, col = np.nonzero(close >= np.maximum(kth, -2)[:, None] - 1e-9)
                 # Of many equal vectors the smallest ids win; the rest need no exact score.
                 score = cosine(q[at + row], x[col])
-                best = np.lexsort((copy[col], ids[col], -score, row))
+                best = np.lexsort((copy[col], content[col], ids[col], -score, row))
                 row, col, score = row[best], col[best], score[best]
                 begin = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]) if len(row) else np.zeros(0, int)
                 rank = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
                 top = rank < k
-                for o, v in zip(out, (qid[at + row[top]], ids[col[top]], score[top], copy[col[top]])):
+                for o, v in zip(out, (qid[at + row[top]], ids[col[top]], score[top], as_long(content[col[top]]), copy[col[top]])):
                     o.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()]
         return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, kinds)], names=names)
 
     return run
