@@ -192,6 +192,17 @@ def test_secrets_found_and_look_alikes_left(documents, forest):
         assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_secrets_of_any_columns(spark, forest):
+    key = "AKIA" + "QZ7WM4KXN2LP5RTY"
+    names = ["_key", "_secrets", "_words", "_hit", "_p", "_x", "length", "prefix", "word", "path"]
+    docs = spark.createDataFrame([(1, f"a {key} b", *names), (1, f"a {key} b", *names), (None, None, *names)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    clean = secrets.redact(docs, forest)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted([(1, "a [SECRET] b", *names)] * 2 + [(None, None, *names)], key=str)
+    found = secrets.scan(docs, forest, keep=("doc_id", "_p", "length", "path"))
+    assert [tuple(r)[:6] for r in found.collect()] == [(1, "_p", "length", "path", 1, key)] * 2
+
+
 def test_secrets_without_digits(documents, forest):
     stripe, base, password, mixed = "sk_live_" + "QwErTyUiOpAsDfGhJkLzXcVb", "kQzWvXpRtLmNbGhJdSfY", "zqkvhwxmpjrtb", "GhTpLkRwQzXvBnMdKs"
     docs = documents([(1, f'x api_key = "{stripe}" y'), (2, f"words secret:{base} words"), (3, f"words password={password} words"), (4, f'set token = "{mixed}" here'), (5, "the internationalization of getUserNameByAddress and SOME_CONSTANT_NAME"), (6, "password authentication thetionerandwhichwas onreonwhndti"), (7, "see https://example.com/en/some-page-with-name now"), (8, "one path/to/some/file and another-long-hyphenated-name"), (9, "words AKIAQZXWMKVXNZLP words"), (10, "x secret=QZXWMKVXNZLPRTYHGQWK y"), (11, "THE GEKEITSCHEINBECH SHOUTS")])
@@ -229,6 +240,25 @@ def test_nearest_with_ties_and_bad_vectors(spark, monkeypatch):
     assert nearest.search(df.limit(0), df).collect() == [] and nearest.search(df, df.limit(0)).collect() == []
 
 
+def test_nearest_of_repeated_and_null_ids_and_extreme_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 4))
+    rows = [(i % 70, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 2 + [(None, v.tolist()) for v in x[:9]]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in sorted(nearest.search(df, df.where("vec_id % 50 = 0 or vec_id is null"), ratio=9.0, slack=9.0, replicas=5, list_size=10, piece=1).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 50}
+    named = [(i, np.array(v)) for i, v in rows if i is not None]
+    for q, found in got.items():
+        # A query of each row of the id; every other row, repeated ones too, has its best place once.
+        best = [(max(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)) for i, v in named if i == q), i, k) for k, (i, w) in enumerate(named) if i != q]
+        assert len(found) == 5 and max(abs(a - b[0]) for (_, a), b in zip(found, sorted(best, reverse=True))) < 1e-12
+    wild = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e308, -1e308]), (3, [5e-324, 0.0]), (4, [3.0, 4.0])]
+    scores = {r["vec_id"]: r["score"] for r in nearest.search(spark.createDataFrame(wild, df.schema), spark.createDataFrame(wild[:1], df.schema)).collect()}
+    assert {k: round(v, 12) for k, v in scores.items()} == {1: 1.0, 2: 0.0, 3: round(0.5**0.5, 12), 4: round(7 / 5 / 2**0.5, 12)}
+
+
 @needs_tables
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")

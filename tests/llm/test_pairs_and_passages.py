@@ -79,6 +79,14 @@ def test_one_of_each_group_stays(documents, corpus):
     assert all(got[d] >= n for d, n in empties.items())
 
 
+def test_one_of_each_group_stays_with_any_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", "b", "c", "d"), (2, text + " more", "e", "f", "g", "h"), (3, "other words of one", "i", "j", "k", "l"), (None, None, "m", "n", "o", "p")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id string, _class string, _n string, _tie string")
+    kept = jaccard.first_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def test_prefix_and_reserve_bounds():
     for n in range(1, 400):
         for percent in (60, 80, 85):

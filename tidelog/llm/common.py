@@ -33,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Apply ``f`` to slices of ``columns``, whose first string column is cut by ``CHUNK_BYTES``."""
     kept = df.select(*columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, save, slices, table, word_hashes
+from .common import arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, save, slices, table, unused, word_hashes
 from .components import components
 
 SIZE, PERCENT = 4, 85
@@ -289,10 +289,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups:
 def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; documents without words all stay."""
     rows = save(join(docs, size, percent), "components")
-    named = rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("_id"), F.coalesce("class_id", F.lit(0)).alias("_class"), "group_id")
-    stay = named.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("_id", "_class")).alias("s")).select("s.*")
-    stay = stay.unionByName(named.where("group_id is null").select("_id", "_class").distinct())
-    at, schema = docs.columns.index("text"), docs.withColumns({"_class": F.lit(0).cast("bigint"), "_n": F.lit(0).cast("bigint")}).schema
+    # Whatever the columns of ``docs`` are called.
+    id_, class_, n_, tie_ = unused(docs, "_id", "_class", "_n", "_tie")
+    named = rows.select(F.coalesce("doc_id", F.lit(NONE)).alias(id_), F.coalesce("class_id", F.lit(0)).alias(class_), "group_id")
+    stay = named.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct(id_, class_)).alias("s")).select("s.*")
+    stay = save(stay.unionByName(named.where("group_id is null").select(id_, class_).distinct()), "stay")
+    at, schema = docs.columns.index("text"), docs.withColumns({class_: F.lit(0).cast("bigint"), n_: F.lit(0).cast("bigint")}).schema
 
     def run(batches):
         for batch in batches:
@@ -301,9 +303,9 @@ def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(n > 0, as_long(fingerprints(tokens, first)), 0)), pa.array(n)], names=schema.names)
 
-    classed = docs.mapInArrow(run, schema).withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)))
-    tied = classed.withColumn("_tie", F.when(F.col("_n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(0)))  # repeated rows with words are one
-    return tied.join(stay, ["_id", "_class"], "left_semi").dropDuplicates(["_id", "_class", "_tie"]).select(*docs.columns)
+    classed = docs.mapInArrow(run, schema).withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)))
+    tied = classed.withColumn(tie_, F.when(F.col(n_) == 0, F.monotonically_increasing_id()).otherwise(F.lit(0)))  # repeated rows with words are one
+    return tied.join(stay, [id_, class_], "left_semi").dropDuplicates([id_, class_, tie_]).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ placeholders and words run together.
 
 Defined cases: a null or empty text has no candidates; every occurrence is a
 row; repeated documents have their findings as often as they are there; a null
-path counts as one with nothing in it; an empty table gives no rows; other
-columns are ignored by ``scan`` and kept by ``redact``.
+path counts as one with nothing in it, and so does a table without a column for
+it; an empty table gives no rows; other columns, whatever their names, are
+ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import save, table, unused
 
 MIN_LENGTH = 12
 MASK = "[SECRET]"
@@ -175,21 +176,25 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -
 
 def scan(docs: DataFrame, model: PipelineModel, text: str = "text", path: str | None = "source", threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``word_no``, ``secret`` and ``score`` of every finding that the forest takes for real."""
-    wanted = docs.select(*dict.fromkeys([*keep, text, *([path] if path else [])]))
-    scored = model.transform(described(candidates(wanted, text, path)))
-    score = vector_to_array("_p")[1]
-    return scored.select(*keep, "word_no", "secret", score.alias("score")).where(F.col("score") >= threshold)
+    held = [f"_kept{i}" for i in range(len(keep))]  # names that clash with none of the features
+    there = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+    wanted = docs.select(*(F.col(c).alias(h) for c, h in zip(keep, held)), F.col(text).alias("_text"), there.alias("_path"))
+    scored = model.transform(described(candidates(wanted, "_text", "_path")))
+    found = scored.select(*held, "word_no", "secret", vector_to_array("_p")[1].alias("score")).where(F.col("score") >= threshold)
+    return found.select(*(F.col(h).alias(c) for h, c in zip(held, keep)), "word_no", "secret", "score")
 
 
 def redact(docs: DataFrame, model: PipelineModel, text: str = "text", path: str | None = "source", mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; a column ``n_chars`` is set to the new length where there is one."""
-    rows = docs.withColumn("_key", F.xxhash64(F.col(text), F.length(text), *([F.col(path)] if path else [])))
-    found = scan(rows, model, text, path, keep=("_key",)).groupBy("_key").agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-    changed = rows.join(found, "_key", "left")
-    new = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col(text), lambda acc, s: F.replace(acc, s, F.lit(mask)))
+    key, secrets = unused(docs, "_key", "_secrets")
+    rows = docs.withColumn(key, F.xxhash64(F.col(text), F.length(text), *([F.col(path)] if path in docs.columns else [])))
+    found = scan(rows, model, text, path, keep=(key,)).groupBy(key).agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias(secrets))
+    # Written, so that the join is of plain tables and Spark can split a text that many rows have.
+    changed = rows.join(save(found, "secrets"), key, "left")
+    new = F.aggregate(F.coalesce(secrets, F.array().cast("array<string>")), F.col(text), lambda acc, s: F.replace(acc, s, F.lit(mask)))
     out = changed.withColumn(text, new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(secrets) > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
