@@ -43,7 +43,7 @@ class Storage:
 
     def publish(self, name: str, text: str) -> None:
         """Write a whole file under a name that nobody has published before."""
-        partial = f"{name}.tmp"
+        partial = f"{name}.{uuid.uuid4().hex}.tmp"  # no other writer's
         stream = self._fs.create(self._path(partial), True)
         stream.write(bytearray(text.encode()))
         stream.close()
@@ -80,4 +80,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote and that nothing will read again."""
+    for df in saved:
+        folder, _, name = df._saved_at.rpartition("/")
+        Storage(df.sparkSession, folder).delete(name)
