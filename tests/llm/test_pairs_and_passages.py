@@ -48,13 +48,31 @@ def test_join_equals_brute_force(documents, corpus, size, percent, most):
     assert got == expected_components(corpus, size, percent)
 
 
-def test_join_in_small_chunks(documents, corpus, monkeypatch):
+@pytest.mark.parametrize("tokens", [500_000, 900])
+def test_join_in_small_chunks(documents, corpus, monkeypatch, tokens):
     monkeypatch.setattr(jaccard, "CHUNK", 4)
     monkeypatch.setattr(jaccard, "QUERIES", 3)
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(corpus)).collect())
     assert got == expected_components(corpus, 4, 85)
 
 
+def test_sets_that_link_have_a_part_in_common():
+    rng = random.Random(5)
+    seen = 0
+    for _ in range(600):
+        n, percent = rng.randrange(1, 120), rng.choice([60, 80, 85, 95])
+        a = [rng.randrange(1 << 60) for _ in range(n)]
+        b = [x for x in a if rng.random() > 0.12] + [rng.randrange(1 << 60) for _ in range(rng.randrange(0, n // 10 + 2))]
+        common = len(set(a) & set(b))
+        if b and 100 * common >= percent * (len(a) + len(b) - common):
+            seen += 1
+            x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+            assert set(jaccard.part_keys(x, percent).tolist()) & set(jaccard.part_keys(y, percent).tolist())
+    assert seen > 100
+
+
 def test_join_of_short_texts_and_hot_passages(documents):
     rng = random.Random(3)
     shared = " ".join(f"s{i}" for i in range(40))
@@ -177,6 +195,8 @@ def test_only_shared_over_batches(spark):
             base = set(rows) if distinct else rows
             keys = Counter(a for a, _ in base)
             assert Counter(map(tuple, common.only_shared(df, "a", ["b"], distinct).collect())) == Counter(x for x in base if keys[x[0]] > 1)
+        salted = spark.createDataFrame([(a, b, int(a == 3) * (1 + b % 5)) for a, b in rows[:60]], "a bigint, b bigint, s int")
+        assert Counter(map(tuple, common.only_shared(salted, "a", ["b"], True, "s").collect())) == Counter(x for x in rows[:60] if Counter(a for a, _ in rows[:60])[x[0]] > 1)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..storage import fresh_path, save, shared_dir  # noqa: F401
+from ..storage import discard, fresh_path, save, shared_dir  # noqa: F401
 
 #: Text bytes handled at once by the vectorised code; one longer text makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
@@ -83,13 +83,18 @@ def slices(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.Recor
         at = to
 
 
-def only_shared(df: DataFrame, key: str, then: list[str], distinct: bool = False) -> DataFrame:
+def only_shared(df: DataFrame, key: str, then: list[str], distinct: bool = False, salt: str | None = None) -> DataFrame:
     """The rows of an integer table whose ``key`` other rows have too, and with ``distinct`` each row once.
 
-    The rows of a key come to one task in order and pass through it: a key may have any number.
+    The rows of a key come to one task in order and pass through it: a key may have any number. A key that is known to be
+    shared by many can be dealt to several tasks: all rows whose ``salt``, which is then left out of the result, isn't 0 are kept.
     """
     names = df.columns
     first, kinds = names.index(key), [f.type for f in _arrow_fields(df.schema)]
+    out = [i for i, n in enumerate(names) if n != salt]
+
+    def kept(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[i][keep], kinds[i]) for i in out], names=[names[i] for i in out])
 
     def run(batches: Iterator[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
         held, carried = [np.zeros(0, np.int64)] * len(names), False  # the last row so far, and whether its key had rows before it
@@ -103,18 +108,19 @@ def only_shared(df: DataFrame, key: str, then: list[str], distinct: bool = False
                 rows = [c[new] for c in rows]
             k = rows[first]
             like = k[1:] == k[:-1]
-            shared = np.zeros(len(k), bool)
+            shared = np.zeros(len(k), bool) if salt is None else rows[names.index(salt)] != 0
             shared[1:] |= like
             shared[:-1] |= like
             shared[0] |= carried
             if batch is None:
-                yield pa.RecordBatch.from_arrays([pa.array(c[shared], t) for c, t in zip(rows, kinds)], names=names)
+                yield kept(rows, shared)
                 continue
             held, carried = [c[-1:] for c in rows], bool(shared[-1])
-            out = shared[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][out], t) for c, t in zip(rows, kinds)], names=names)
+            shared[-1] = False  # that row comes with the next batch
+            yield kept(rows, shared)
 
-    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(run, df.schema)
+    salts = [salt] if salt else []
+    return df.repartition(key, *salts).sortWithinPartitions(key, *salts, *then).mapInArrow(run, df.select(*(names[i] for i in out)).schema)
 
 
 def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -10,14 +10,21 @@ prefix length and ``e`` a reserve. Tokens that one class alone has fall out at
 once. For two groups the tokens that both unions hold are counted, a bound on
 what any two of their classes share; only pairs of groups that reach the least
 number are opened. Tokens in more than ``MOST_GROUPS`` groups are left out of the
-count, and what a class may have lost by that is taken off its bound. Classes
-that lose more than their reserve are compared among each other by all tokens.
+count, and what a class may have lost by that is taken off its bound.
 
-Verification. A group is dealt into chunks. In a chunk each query is first held
-against the union of its members' tokens and only then against the members.
-Sets already connected are not compared again, so a group of near copies costs a
-star and not all pairs. Members that are not connected with their group's first
-class are queries to the other chunks.
+Classes that lose more than their reserve get further groups. Two sets that link
+differ in at most ``D`` tokens, which their sizes tell. All tokens are dealt by
+hash to more than ``D`` parts, so one part at least is the same in both; the
+classes with the same tokens in a part are a group. No pairs are listed for it.
+
+Verification. A group is dealt into chunks, bounded by classes and by tokens. In
+a chunk each query is first held against the union of its members' tokens and
+only then against the members. Sets already connected are not compared again, so
+a group of near copies costs a star and not all pairs. Members that are not
+connected with their group's first class are queries to the other chunks.
+
+Tokens that a sample of documents shows to be frequent are dealt to several
+tasks. The sample decides on that only, never on what is found.
 
 Defined cases: a null text, or one without words, has an empty set, links with
 nothing and is its own component; a text of fewer than ``size`` words has one
@@ -30,20 +37,24 @@ gives no rows; other columns are ignored. Tokens and sets are told apart by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_long, cut_words, gram_hashes, mix, only_shared, save, slices, table, unused, word_hashes
+from .common import arrow_map, as_long, cut_words, discard, gram_hashes, mix, only_shared, save, slices, table, unused, word_hashes
 from .components import components
 
 SIZE, PERCENT = 4, 85
 #: Smallest tokens of a class looked at for its group, and how many of them a group has in common.
 LOW, COMMON = 8, 3
 MOST_GROUPS = 64
-#: Classes of one chunk of a group, and queries held against it at once.
-CHUNK, QUERIES = 1000, 2000
+#: Classes of one chunk of a group, queries held against it at once, and about the most tokens of either.
+CHUNK, QUERIES, CHUNK_TOKENS = 250, 500, 500_000
+#: Documents of the sample for frequent tokens, of how many of them such a token is, and tasks it is dealt to.
+SAMPLE, FREQUENT, SALTS = 2000, 20, 256
 NONE = (1 << 63) - 1
 
 
@@ -114,8 +125,8 @@ def grouped(classes: DataFrame) -> DataFrame:
     return joined.withColumn("g", F.when(F.size("top") == COMMON, F.xxhash64("top.t")).otherwise(F.col("class"))).drop("top")
 
 
-def prefix_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``token`` and ``class`` of every prefix token that at least two classes have."""
+def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """``token`` and ``class`` of the prefix of every document's set, and ``salt``, 0 for tokens that aren't ``frequent`` (ascending)."""
 
     def run(batch):
         tokens, first = token_sets(batch.column(1), size)
@@ -124,11 +135,25 @@ def prefix_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
         keep = np.zeros(len(n), bool)
         keep[at] = True
         count = np.where(keep & (n > 0), prefix(n, percent) + reserve(n, percent), 0)
-        yield {"token": as_long(tokens[_heads(first, count)]), "class": np.repeat(as_long(fingerprints(tokens, first)), count)}
+        token, class_ = tokens[_heads(first, count)], np.repeat(fingerprints(tokens, first), count)
+        salt = np.zeros(len(token), np.int32)
+        if len(frequent):
+            hit = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
+            salt[hit] = mix(class_[hit]) % np.uint64(SALTS) + np.uint64(1)
+        yield {"token": as_long(token), "class": as_long(class_), "salt": salt}
+
+    return arrow_map(docs, ["doc_id", "text"], "token bigint, class bigint, salt int", run)
+
 
-    schema = "token bigint, class bigint"
-    every = arrow_map(docs, ["doc_id", "text"], schema, run)
-    return only_shared(every, "token", ["class"], distinct=True)
+def prefix_tokens(docs: DataFrame, size: int, percent: int, n_docs: int) -> DataFrame:
+    """``token`` and ``class`` of every prefix token that at least two classes have."""
+    of = 1 << 30
+    taken = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(of)) < min(of, -(-of * SAMPLE // max(1, n_docs))))
+    none = np.zeros(0, np.uint64)
+    often = _prefixes(taken, size, percent, none).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    rows = often.orderBy(F.desc("n")).limit(100_000).select("token").collect()
+    frequent = np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+    return only_shared(_prefixes(docs, size, percent, frequent), "token", ["class"], distinct=True, salt="salt")
 
 
 def _e(n, percent: int):
@@ -137,28 +162,75 @@ def _e(n, percent: int):
     return F.least(n - p, F.greatest(F.lit(64), F.floor(n / 10)))
 
 
-def group_pairs(tokens: DataFrame, groups: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs of groups (``g1``, ``g2``) that may hold a link. ``tokens`` and ``groups`` can be read again at no great cost."""
+def group_pairs(tokens: DataFrame, groups: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of groups (``g1``, ``g2``) that may hold a link, and the classes (``class``) that lost too many tokens for that.
+
+    Both inputs can be read again at no great cost. Counts are written before they are joined, so that Spark can split a frequent token.
+    """
     n = F.col("n_shingles")
     named = tokens.join(groups.select("class", "g", "n_shingles"), "class")
     cells = save(named.groupBy("token", "g").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")), "matrix")
-    spread = cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    lost = tokens.join(spread.where(F.col("groups") > most).select("token"), "token").groupBy("class").agg(F.count(F.lit(1)).alias("lost"))
+    spread = save(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1"), "spread")
+    lost = tokens.join(spread, "token").groupBy("class").agg(F.count_if(F.col("groups") > most).alias("lost"))
     bounds = save(groups.join(lost, "class", "left").select("class", "g", n, F.coalesce("lost", F.lit(0)).alias("lost"), (F.coalesce("lost", F.lit(0)) > _e(F.floor(n * percent / 100), percent)).alias("heavy")), "bounds")
-    of_group = bounds.groupBy("g").agg(F.min(_e(n, percent)).alias("e"), F.max("lost").alias("lost"))
+    of_group = save(bounds.groupBy("g").agg(F.min(_e(n, percent)).alias("e"), F.max("lost").alias("lost")), "bounds")
     listed = cells.join(spread.where(F.col("groups") <= most).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("g", "low", "high"))).alias("x"))  # at most `most` entries
     pairs = listed.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
     near = (F.col("a.low") * percent <= F.col("b.high") * 100) & (F.col("b.low") * percent <= F.col("a.high") * 100)
-    counted = pairs.where(near).groupBy(F.col("a.g").alias("g1"), F.col("b.g").alias("g2")).agg(F.count(F.lit(1)).alias("shared"))
+    counted = save(pairs.where(near).groupBy(F.col("a.g").alias("g1"), F.col("b.g").alias("g2")).agg(F.count(F.lit(1)).alias("shared")), "counted")
     one, two = (of_group.select(F.col("g").alias(f"g{i}"), F.col("e").alias(f"e{i}"), F.col("lost").alias(f"lost{i}")) for i in "12")
     least = F.greatest(F.lit(1), F.least("e1", "e2") + 1 - F.least("lost1", "lost2"))
-    opened = counted.join(one, "g1").join(two, "g2").where(F.col("shared") >= least).select("g1", "g2")
-    # Classes that lost more than their reserve: all their tokens count, and both of a missed pair are such.
-    heavy = named.select("token", "class", "g", "n_shingles").join(bounds.where("heavy").select("class"), "class", "left_semi").groupBy("token", "g").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    left, right = heavy.select("token", F.col("g").alias("g1"), F.struct("low", "high").alias("a")), heavy.select("token", F.col("g").alias("g2"), F.struct("low", "high").alias("b"))
-    both = left.join(right, "token").where("g1 < g2").where(near).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("shared"))
-    rest = both.join(one, "g1").join(two, "g2").where(F.col("shared") > F.least("e1", "e2")).select("g1", "g2")
-    return opened.unionByName(rest).distinct()
+    opened = save(counted.join(one, "g1").join(two, "g2").where(F.col("shared") >= least).select("g1", "g2"), "pairs")
+    discard(cells, spread, counted, of_group)
+    return opened, bounds.where("heavy").select("class")
+
+
+def schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """The ways in which a set of ``n`` tokens is dealt into parts: ``(scheme, parts, spare)``.
+
+    Bounds of sizes grow by the least ratio of two that link, so both of a pair are of the smaller one's scheme. There they differ in at most
+    ``parts - 1 - spare`` tokens, and so are the same in more than ``spare`` parts.
+    """
+    bound, k, out = 1, 0, []
+    while True:
+        above = max(bound + 1, bound * 100 // percent)
+        if n <= above:  # of this scheme as the larger one, or as the smaller one, which also is of the next
+            differ = bound * (100 - percent) // percent
+            spare = 1 + differ // 20
+            out.append((k, differ + 1 + spare, spare))
+        if n <= bound:
+            return out
+        bound, k = above, k + 1
+
+
+def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """A key for each part of a set: equal for two sets that have the same tokens there. Empty parts have one only where a set has many."""
+    hashed, out = mix(tokens ^ np.uint64(0x3C79AC492BA7B653)), []
+    for scheme, parts, spare in schemes(len(tokens), percent):
+        part = hashed % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashed[order]), dtype=np.uint64)])
+        edge = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        empty = edge[1:] == edge[:-1]
+        label = mix(np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme))
+        keys = mix((total[edge[1:]] - total[edge[:-1]]) ^ label)
+        out.append(keys if empty.sum() > spare else keys[~empty])
+    return np.concatenate(out)
+
+
+def part_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """Groups of classes with the same tokens in a part: ``class``, ``n_shingles``, ``g``. ``sets``: ``class`` and ``tokens``. Of equal groups one is kept."""
+
+    def run(batch):
+        for class_, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            tokens = np.frombuffer(raw.as_buffer(), np.uint64)
+            keys = part_keys(tokens, percent)
+            yield {"g": as_long(keys), "class": np.full(len(keys), class_), "n_shingles": np.full(len(keys), len(tokens))}
+
+    keyed = save(arrow_map(sets, ["class", "tokens"], "g bigint, class bigint, n_shingles bigint", run).distinct(), "parts")
+    alike = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("most"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("all")).where("n > 1")
+    one = save(alike.groupBy("n", "least", "most", "all").agg(F.min("g").alias("g")).select("g"), "parts")
+    return keyed.join(one, "g", "left_semi")
 
 
 def linked(a: np.ndarray, n_a, n_b, percent: int):
@@ -230,8 +302,8 @@ def verify(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
         _, at = np.unique(ids[order], return_index=True)
         order = order[np.sort(at)]
         ids, role = ids[order], role[order]
-        raw = chunk.column("tokens").to_pylist()
-        links, root = compare([np.frombuffer(raw[i], np.uint64) for i in order], role, percent)
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in chunk.column("tokens")]
+        links, root = compare([raw[i] for i in order], role, percent)
         out = [(int(ids[a]), int(ids[b]), None) for a, b in links]
         if (role == 2).any() and chunk.column("piece")[0].as_py() == 0:
             base = root[np.flatnonzero(role == 2)[0]]
@@ -241,18 +313,41 @@ def verify(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     return sets.join(wanted, "class").groupBy("g", "part", "piece").applyInArrow(run, "a bigint, b bigint, g bigint")
 
 
-def _placed(groups: DataFrame, queries: DataFrame) -> DataFrame:
-    """Where members of groups and ``queries`` (``class``, ``g``) are needed."""
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first"))
-    asked = queries.groupBy("g").agg(F.count(F.lit(1)).alias("q"))
-    open_ = sizes.join(asked, "g", "left").where("n > 1 or q is not null")
-    plan = open_.select("g", "first", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.coalesce("q", F.lit(0)) / QUERIES)).cast("int").alias("pieces"))
+def _placed(groups: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """Where members of groups and ``queries`` are needed; both have ``class``, ``n_shingles`` and ``g``."""
+    pieces = lambda most: F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n_shingles") / CHUNK_TOKENS)).cast("int")
+    plan = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), pieces(CHUNK).alias("parts"), F.min("class").alias("first"))
+    if queries is None:
+        plan = plan.where("n > 1").withColumn("pieces", F.lit(1))
+    else:
+        asked = queries.groupBy("g").agg(pieces(QUERIES).alias("pieces"))
+        plan = plan.join(asked, "g", "left").where("n > 1 or pieces is not null").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    plan = save(plan, "plan")
     of = lambda c, k: F.pmod(F.xxhash64(F.col("class"), F.lit(k)), F.col(c)).cast("int")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = groups.select("class", "g").join(plan, "g").select("class", "g", F.lit(0).alias("role"), of("parts", 1).alias("part"), spread("pieces").alias("piece"))
+    out = groups.select("class", "g").join(plan, "g").select("class", "g", F.lit(0).alias("role"), of("parts", 1).alias("part"), spread("pieces").alias("piece"))
     firsts = plan.where("parts > 1").select(F.col("first").alias("class"), "g", F.lit(2).alias("role"), "pieces", spread("parts").alias("part")).select("class", "g", "role", "part", spread("pieces").alias("piece"))
-    asking = queries.join(plan, "g").select("class", "g", F.lit(1).alias("role"), of("pieces", 2).alias("piece"), spread("parts").alias("part")).select("class", "g", "role", "part", "piece")
-    return members.unionByName(firsts).unionByName(asking)
+    out = out.unionByName(firsts)
+    if queries is not None:
+        asking = queries.select("class", "g").join(plan, "g").select("class", "g", F.lit(1).alias("role"), of("pieces", 2).alias("piece"), spread("parts").alias("part"))
+        out = out.unionByName(asking.select("class", "g", "role", "part", "piece"))
+    return out
+
+
+def links_of(groups: DataFrame, queries: DataFrame | None, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that connect all linked classes of a group, and queries with it. ``sets`` gives the tokens of classes."""
+    places = save(_placed(groups, queries), "places")
+    tokens = sets(places)
+    found = save(verify(tokens, places, percent), "links")
+    loose = save(found.where("b is null").select(F.col("a").alias("class"), "g").distinct(), "loose")
+    links = found.where("b is not null").select("a", "b")
+    if loose.limit(1).count():
+        again = groups.join(loose.select("g").distinct(), "g", "left_semi")
+        asking = groups.select("class", "g", "n_shingles").join(loose, ["class", "g"])
+        more = save(verify(tokens, save(_placed(again, asking).where("role <> 2"), "places"), percent), "links")
+        links = links.unionByName(more.where("b is not null").select("a", "b"))
+    discard(places, tokens)
+    return links
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups: int = MOST_GROUPS) -> DataFrame:
@@ -263,21 +358,21 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups:
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"), F.min(F.coalesce("doc_id", F.lit(NONE))).alias("key"))
     groups = save(grouped(classes), "groups")
-    tokens = save(prefix_tokens(docs, size, percent), "tokens")
-    pairs = save(group_pairs(tokens, groups, percent, most_groups), "pairs")
+    tokens = save(prefix_tokens(docs, size, percent, signed.count()), "tokens")
+    pairs, heavy = group_pairs(tokens, groups, percent, most_groups)
+    discard(tokens)
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     one, two = (sizes.select(F.col("g").alias(f"g{i}"), F.col("n").alias(f"n{i}")) for i in "12")
     turn = F.struct("n1", "g1") < F.struct("n2", "g2")  # the smaller group asks
-    directed = pairs.join(one, "g1").join(two, "g2").select(F.when(turn, F.col("g1")).otherwise(F.col("g2")).alias("from"), F.when(turn, F.col("g2")).otherwise(F.col("g1")).alias("g"))
-    queries = directed.join(groups.select(F.col("g").alias("from"), "class"), "from").select("class", "g")
-    places = save(_placed(groups, queries), "places")
-    sets = save(sets_of(docs, groups, places, size), "sets")
-    found = save(verify(sets, places, percent), "links")
-    loose = found.where("b is null").select(F.col("a").alias("class"), "g").distinct()
-    if loose.limit(1).count():
-        again = groups.join(loose.select("g").distinct(), "g", "left_semi")
-        found = found.unionByName(save(verify(sets, save(_placed(again, loose).where("role <> 2"), "places"), percent), "links"))
-    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
+    directed = save(pairs.join(one, "g1").join(two, "g2").select(F.when(turn, F.col("g1")).otherwise(F.col("g2")).alias("from"), F.when(turn, F.col("g2")).otherwise(F.col("g1")).alias("g")), "directed")
+    queries = directed.join(groups.select(F.col("g").alias("from"), "class", "n_shingles"), "from").select("class", "g", "n_shingles")
+    sets = lambda needed: save(sets_of(docs, groups, needed, size), "sets")
+    found = links_of(groups, queries, sets, percent)
+    if heavy.limit(1).count():
+        of_heavy = sets(heavy)
+        found = found.unionByName(links_of(save(part_groups(of_heavy, percent), "parts"), None, sets, percent))
+        discard(of_heavy)
+    labels = components(found).withColumnRenamed("node", "class")
     named = groups.select("class", "key").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("key").alias("component"))
     component = named.join(least, "label").select("class", "label", "component")
