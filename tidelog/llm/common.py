@@ -119,8 +119,7 @@ def only_shared(df: DataFrame, key: str, then: list[str], distinct: bool = False
             shared[-1] = False  # that row comes with the next batch
             yield kept(rows, shared)
 
-    salts = [salt] if salt else []
-    return df.repartition(key, *salts).sortWithinPartitions(key, *salts, *then).mapInArrow(run, df.select(*(names[i] for i in out)).schema)
+    return df.repartition(key, *([salt] if salt else [])).sortWithinPartitions(key, *then).mapInArrow(run, df.select(*(names[i] for i in out)).schema)
 
 
 def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -174,14 +174,15 @@ def group_pairs(tokens: DataFrame, groups: DataFrame, percent: int, most: int) -
     lost = tokens.join(spread, "token").groupBy("class").agg(F.count_if(F.col("groups") > most).alias("lost"))
     bounds = save(groups.join(lost, "class", "left").select("class", "g", n, F.coalesce("lost", F.lit(0)).alias("lost"), (F.coalesce("lost", F.lit(0)) > _e(F.floor(n * percent / 100), percent)).alias("heavy")), "bounds")
     of_group = save(bounds.groupBy("g").agg(F.min(_e(n, percent)).alias("e"), F.max("lost").alias("lost")), "bounds")
-    listed = cells.join(spread.where(F.col("groups") <= most).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("g", "low", "high"))).alias("x"))  # at most `most` entries
+    few = save(cells.join(spread.where(F.col("groups") <= most).select("token"), "token"), "matrix")  # by itself, so that Spark can split what a frequent token has
+    listed = few.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("g", "low", "high"))).alias("x"))  # at most `most` entries
     pairs = listed.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
     near = (F.col("a.low") * percent <= F.col("b.high") * 100) & (F.col("b.low") * percent <= F.col("a.high") * 100)
     counted = save(pairs.where(near).groupBy(F.col("a.g").alias("g1"), F.col("b.g").alias("g2")).agg(F.count(F.lit(1)).alias("shared")), "counted")
     one, two = (of_group.select(F.col("g").alias(f"g{i}"), F.col("e").alias(f"e{i}"), F.col("lost").alias(f"lost{i}")) for i in "12")
     least = F.greatest(F.lit(1), F.least("e1", "e2") + 1 - F.least("lost1", "lost2"))
     opened = save(counted.join(one, "g1").join(two, "g2").where(F.col("shared") >= least).select("g1", "g2"), "pairs")
-    discard(cells, spread, counted, of_group)
+    discard(cells, few, spread, counted, of_group)
     return opened, bounds.where("heavy").select("class")
 
 
