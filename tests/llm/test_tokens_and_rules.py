@@ -184,6 +184,22 @@ def test_shards(spark, documents, whole):
     assert token_store.read_back(token_store.write_shards(documents([]), fresh_path(spark, "none"))).collect() == []
 
 
+def test_a_lookup_reads_few_bytes(tmp_path):
+    rng = np.random.default_rng(2)
+    for n in (1, 50, 30_000):
+        keys = np.sort(rng.choice(1 << 40, n, replace=False)).astype(np.int64)
+        ids = [rng.integers(0, 50_000, 1 + k % 7).astype("<u4").tobytes() for k in range(n)]
+        path = tmp_path / f"{n}.tok"
+        path.write_bytes(token_store.shard_bytes(keys, ids, n == 50))
+        whole = token_store.Shard(path.read_bytes())
+        with path.open("rb") as f:
+            for k in rng.choice(n, min(n, 200), replace=False):
+                shard = token_store.OpenShard(f)
+                (got,) = shard.get(int(keys[k]))
+                assert got.tobytes() == ids[k] == whole.get(int(keys[k]))[0].tobytes() and shard.reads < 1000
+                assert token_store.OpenShard(f).get(int(keys[k]) + (1 << 41)) == [] == whole.get(int(keys[k]) + (1 << 41))
+
+
 def test_a_cut_shard_is_refused():
     data = token_store.shard_bytes(np.array([1, 2]), [b"\1\0\0\0", b"\2\0\0\0"], False)
     with pytest.raises(ValueError):

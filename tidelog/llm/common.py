@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from ..storage import discard, fresh_path, save, shared_dir  # noqa: F401
 
 #: Text bytes handled at once by the vectorised code; one longer text makes a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Words longer than this are hashed one by one.
 LONG_WORD = 64
 

@@ -26,6 +26,23 @@ _WIDE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _PLAIN = re.compile("[^\t\n\r -~¡-©«-±´-¸»¿-ÿ]")
 
 
+def _byte_table() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible in Latin-1, else one from U+0100 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_table()
+
+
+def byte_characters(piece: str) -> str:
+    """A piece as the tokenizer's model takes it, a character for each byte."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _BYTES[32])
+    return piece.encode().decode("latin-1").translate(_BYTES)
+
+
 def cuts_alike(path: str) -> bool:
     """Whether the tokenizer of the file cuts texts by the pattern above and encodes each piece alone."""
     with open(path, encoding="utf-8") as f:
@@ -46,17 +63,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = regex.compile(_WIDE)
-        self.alike = cuts_alike(path)
+        self.alike, self.model = cuts_alike(path), self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.passing: list[str] = []
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                out[piece] = array("I", e.ids).tobytes()  # 4 bytes, little-endian
-        return out
+        tokenize = self.model.tokenize
+        return {p: array("I", [t.id for t in tokenize(byte_characters(p))]).tobytes() for p in pieces}  # 4 bytes, little-endian
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = []

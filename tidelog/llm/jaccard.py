@@ -374,8 +374,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, most_groups:
         found = found.unionByName(links_of(save(part_groups(of_heavy, percent), "parts"), None, sets, percent))
         discard(of_heavy)
     labels = components(found).withColumnRenamed("node", "class")
-    named = groups.select("class", "key").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = named.groupBy("label").agg(F.min("key").alias("component"))
+    # Written, so that Spark can split a component with a large share of the classes.
+    named = save(groups.select("class", "key").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "labels")
+    least = save(named.groupBy("label").agg(F.min("key").alias("component")), "labels")
     component = named.join(least, "label").select("class", "label", "component")
     out = signed.drop("low").join(component, "class", "left")
     own = F.coalesce("component", F.col("doc_id"))

@@ -1,16 +1,18 @@
 """Token-id shards with a minimal perfect hash index for keyed access.
 
 A shard file holds, little-endian: the magic; the counts of documents, distinct
-keys, levels, index bits and tokens and the id width; the keys in ascending
-order and where each document's ids begin; the index; and the raw ids. Ids are
+keys, levels, index words and tokens and the id width; the index; the keys in
+ascending order and where each document's ids begin; and the raw ids. Ids are
 stored in 2 bytes where the vocabulary fits, else in 4.
 
 The index is built by levels of bit arrays: a key alone on its bit at a level is
 placed there, the others go on to the next level. The number of set bits before
-a key's bit is its slot, a bijection onto 0..n-1. A slot holds a fingerprint of
-its key and the row of its first document, so a lookup reads a few bits, one
-fingerprint and one offset, and a key that isn't there is recognised with a
-chance of error of 2**-32, then by the stored key.
+a key's bit, which is stored for each word of bits, is its slot, a bijection onto
+0..n-1. A slot holds a fingerprint of its key and the row of its first document.
+A lookup so reads the head, a word of bits a level, one rank, one slot, one key,
+two offsets and the ids, each from its place in the file and whatever the shard's
+size; a key that isn't there is recognised with a chance of error of 2**-32, then
+by the stored key.
 
 Defined cases: a null or empty text has the end id alone; repeated keys stand
 next to each other and a lookup gives them all; rows with a null key are stored
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import fresh_path, mix, save, slices, table
 from .encoding import default_path, encoder
 
-MAGIC = b"TIDTOK01"
+MAGIC = b"TIDTOK02"
 HEAD = struct.Struct("<8s6Q")
 SHARD_BYTES = 16_000_000
 NULL_KEY = -(1 << 63)
 _LEVEL = 0xA0761D6478BD642F
+#: Of each distinct key: fingerprint, row of its first document, number of its documents.
+SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("copies", "<u4")])
 
 
 def _bit(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -94,46 +98,52 @@ def shard_bytes(keys: np.ndarray, ids: list[bytes], wide: bool) -> bytes:
     distinct, first, copies = np.unique(keys, return_index=True, return_counts=True)
     index = PerfectHash.build(distinct)
     slot = index.slots(distinct)
-    prints, row = np.zeros(len(distinct), "<u4"), np.zeros((len(distinct), 2), "<u4")
-    prints[slot], row[slot] = fingerprint(distinct), np.stack([first, copies], 1)
+    slots = np.zeros(len(distinct), SLOT)
+    slots["print"][slot], slots["row"][slot], slots["copies"][slot] = fingerprint(distinct), first, copies
     head = HEAD.pack(MAGIC, len(keys), len(distinct), len(index.sizes), len(index.words), len(tokens), 4 if wide else 2)
-    return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in (head, keys.astype("<i8"), starts, index.sizes.astype("<i8"), index.words.astype("<u8"), row, prints, tokens if wide else tokens.astype("<u2")))
+    parts = (index.sizes.astype("<i8"), index.words.astype("<u8"), index.before[:-1].astype("<u8"), slots, keys.astype("<i8"), starts, tokens if wide else tokens.astype("<u2"))
+    return head + b"".join(x.tobytes() for x in parts)
+
+
+class Layout:
+    """Where the parts of a shard are, from its head."""
+
+    def __init__(self, head: bytes):
+        magic, self.docs, self.distinct, self.levels, self.words, self.tokens, self.width = HEAD.unpack_from(head)
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        self.at, at = {}, HEAD.size
+        for name, size in (("sizes", 8 * self.levels), ("words", 8 * self.words), ("ranks", 8 * self.words), ("slots", SLOT.itemsize * self.distinct), ("keys", 8 * self.docs), ("starts", 8 * (self.docs + 1)), ("tokens", self.width * self.tokens)):
+            self.at[name], at = at, at + size
+        self.size = at
 
 
 class Shard:
     """Keyed access to one shard file."""
 
     def __init__(self, data: bytes):
-        magic, n, distinct, levels, words, tokens, self.width = HEAD.unpack_from(data)
-        if magic != MAGIC:
-            raise ValueError("not a token shard")
-        self.at = HEAD.size
-        self.data = data
-        self.keys = self._take("<i8", n)
-        self.starts = self._take("<u8", n + 1).astype(np.int64)
-        sizes = self._take("<i8", levels)
-        self.index = PerfectHash(self._take("<u8", words), sizes)
-        self.rows = self._take("<u4", 2 * distinct).reshape(-1, 2)
-        self.prints = self._take("<u4", distinct)
-        if len(data) - self.at != tokens * self.width:
+        at = self.layout = Layout(data)
+        self.data, self.width = data, at.width
+        if len(data) != at.size:
             raise ValueError("the shard is cut off")
-        self.tokens = self._take("<u2" if self.width == 2 else "<u4", tokens)
+        self.index = PerfectHash(self._part("words", "<u8", at.words), self._part("sizes", "<i8", at.levels))
+        self.slots = self._part("slots", SLOT, at.distinct)
+        self.keys = self._part("keys", "<i8", at.docs)
+        self.starts = self._part("starts", "<u8", at.docs + 1).astype(np.int64)
+        self.tokens = self._part("tokens", "<u2" if at.width == 2 else "<u4", at.tokens)
 
-    def _take(self, kind: str, n: int) -> np.ndarray:
-        out = np.frombuffer(self.data, kind, n, self.at)
-        self.at += out.nbytes
-        return out
+    def _part(self, name: str, kind, n: int) -> np.ndarray:
+        return np.frombuffer(self.data, kind, n, self.layout.at[name])
 
     def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key its first row and its number of rows, 0 if it isn't there."""
         keys = np.ascontiguousarray(keys, np.int64)
         slot = self.index.slots(keys)
         known = slot >= 0
-        known[known] = self.prints[slot[known]] == fingerprint(keys[known])
-        known[known] = self.keys[self.rows[slot[known], 0]] == keys[known]
-        out = np.zeros((len(keys), 2), np.int64)
-        out[known] = self.rows[slot[known]]
-        return out[:, 0], out[:, 1]
+        known[known] = self.slots["print"][slot[known]] == fingerprint(keys[known])
+        known[known] = self.keys[self.slots["row"][slot[known]]] == keys[known]
+        found = self.slots[np.where(known, slot, 0)] if len(self.slots) else np.zeros(len(keys), SLOT)
+        return np.where(known, found["row"], 0).astype(np.int64), np.where(known, found["copies"], 0).astype(np.int64)
 
     def ids(self, row: int) -> np.ndarray:
         return self.tokens[self.starts[row] : self.starts[row + 1]].astype("<u4")
@@ -143,6 +153,47 @@ class Shard:
         return [self.ids(r) for r in range(first, first + n)]
 
 
+class OpenShard:
+    """Keyed access to a shard file by reads of a few bytes at their places; ``reads`` counts the bytes."""
+
+    def __init__(self, file):
+        self.file, self.reads = file, 0
+        self.layout = Layout(self._read(0, HEAD.size))
+        self.sizes = self._array("sizes", 0, "<i8", self.layout.levels)
+        self.begins = np.concatenate([[0], np.cumsum((self.sizes + 63) // 64)])
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        data = self.file.read(size)
+        if len(data) != size:
+            raise ValueError("the shard is cut off")
+        self.reads += size
+        return data
+
+    def _array(self, name: str, first: int, kind, n: int = 1) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.frombuffer(self._read(self.layout.at[name] + first * kind.itemsize, n * kind.itemsize), kind)
+
+    def get(self, key: int) -> list[np.ndarray]:
+        keys = np.array([key], np.int64)
+        for level, bits in enumerate(self.sizes):
+            at = int(_bit(keys, level, int(bits))[0])
+            word = int(self.begins[level]) + at // 64
+            held = int(self._array("words", word, "<u8")[0])
+            if held >> (at % 64) & 1:
+                break
+        else:
+            return []
+        rank = int(self._array("ranks", word, "<u8")[0]) + (held & ((1 << (at % 64)) - 1)).bit_count()
+        slot = self._array("slots", rank, SLOT)[0]
+        row, copies = int(slot["row"]), int(slot["copies"])
+        if slot["print"] != fingerprint(keys)[0] or self._array("keys", row, "<i8")[0] != key:
+            return []
+        starts = self._array("starts", row, "<u8", copies + 1).astype(np.int64)
+        ids = self._array("tokens", int(starts[0]), "<u2" if self.layout.width == 2 else "<u4", int(starts[-1] - starts[0])).astype("<u4")
+        return [ids[a - starts[0] : b - starts[0]] for a, b in zip(starts, starts[1:])]
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -235,9 +286,13 @@ def read_back(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, key: int) -> list[np.ndarray]:
-    """The ids of each document with this key: one or two shards of the manifest are opened."""
-    hits = manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").select("path").collect()
-    return [ids for r in hits for ids in read_shard(r["path"]).get(key)]
+    """The ids of each document with this key, read from its place in the shards of the manifest that may hold it."""
+    out = []
+    for r in manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").select("path").collect():
+        system, at = _filesystem(r["path"])
+        with system.open_input_file(at) as f:
+            out += OpenShard(f).get(key)
+    return out
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
