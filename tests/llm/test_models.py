@@ -101,6 +101,29 @@ def test_language_cases(documents, spark):
     assert language.predict(docs.limit(0), model).collect() == []
 
 
+def test_long_runs_are_summed_over_all_segmentations():
+    """A run of any length, against the plain recursion in logarithms."""
+    rng = random.Random(7)
+    pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"abc", b"ca", b"bcabca", "日本".encode(), b"abcabcabcabcabcabcabcabc"})
+    p = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 3)
+    lattice = language.Lattice(pieces)
+    runs = ["".join(rng.choice("abc") for _ in range(n)) for n in (65, 66, 300, 1000, 1000, 2500)] + ["日本語" * 40, "a", "abc" * 8]
+    raw = [r.encode() for r in runs]
+    size = np.array([len(r) for r in raw])
+    got = language.forward(lattice, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, p * lattice.tilt)
+    for r, values in zip(raw, got):
+        for k in range(3):
+            log = [0.0] + [-np.inf] * len(r)
+            for end in range(1, len(r) + 1):
+                log[end] = np.logaddexp.reduce([log[end - len(x)] + np.log(p[k, i]) for i, x in enumerate(pieces) if r.endswith(x, 0, end) and len(x) <= end])
+            assert abs(log[-1] - values[k]) < 1e-6 * max(1, abs(log[-1]))
+
+
+def test_letters_of_any_script_are_folded():
+    data, doc, start, end = language.units(pa.array(["ÀB Ωσ ДА", None, "x" * 200]))
+    assert [(d, data[a:b].tobytes().decode()) for d, a, b in zip(doc, start, end)] == [(0, "àb"), (0, "ωσ"), (0, "да"), (2, "x" * 200)]
+
+
 def test_scores_dont_depend_on_the_cache(monkeypatch):
     model = language.train({"en": {b"the": 5, b"cat": 2}, "fr": {b"le": 5, b"chat": 2}}, [bytes([b]) for b in range(256)] + [b"the", b"at", b"ch"])
     texts = pa.array(["the cat", "le chat", "the the le", "x" * 70])

@@ -13,8 +13,8 @@ taken by a hash of id and text, whatever the input. Scoring takes whole texts.
 Defined cases: a text that is null, empty or without letters is ``und`` with
 score 0; a null ``lang`` teaches nothing; with no labelled rows every text is
 ``und``; equal scores go to the first language in order; repeated rows get a row
-each; a null ``doc_id`` is scored, teaches and isn't held out; runs of letters of
-over 64 bytes are cut there; other columns are ignored.
+each; a null ``doc_id`` is scored, teaches and isn't held out; other columns are
+ignored. Only what the model learns from has runs of over 64 bytes cut there.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, encoded, hash_spans, table
 from .quality import remainder
 
+#: Longer runs are cut for learning, and scored by steps that keep no more than the longest piece needs.
 UNIT_BYTES = 64
 #: Units kept by a worker.
 CACHE = 500_000
@@ -49,18 +51,14 @@ def vocabulary(path: str) -> list[bytes]:
     pieces = {bytes([b]) for b in range(256)}
     for i in range(model.get_piece_size()):
         text = model.id_to_piece(i).replace("▁", "")
-        if text.isalpha() and text == text.lower() and len(text.encode()) <= 16:
+        if text.isalpha() and text == text.lower():
             pieces.add(text.encode())
     return sorted(pieces)
 
 
-def units(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(texts, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, and text, start and end of each run of letters (ASCII letters and bytes of other characters)."""
-    data, bounds = encoded(texts)
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    if len(data) > 1:  # U+00C0 to U+00DE, but for the multiplication sign
-        latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-        data[latin] += 0x20
+    data, bounds = encoded(pc.utf8_lower(texts))
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
     opens, closes = letter.copy(), letter.copy()
     opens[1:] &= ~letter[:-1]
@@ -71,7 +69,7 @@ def units(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     closes[inner - 1] = letter[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     long = end - start > UNIT_BYTES
-    if long.any():
+    if cut and long.any():
         s = [np.arange(a, b, UNIT_BYTES) for a, b in zip(start[long], end[long])]
         e = [np.minimum(x + UNIT_BYTES, b) for x, b in zip(s, end[long])]
         start, end = np.sort(np.concatenate([start[~long], *s])), np.sort(np.concatenate([end[~long], *e]))
@@ -86,7 +84,7 @@ class Lattice:
         ends = np.cumsum(sizes)
         hashes = hash_spans(np.frombuffer(b"".join(pieces), np.uint8), ends - sizes, ends)
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.longest = hashes[order], order, int(sizes.max())
+        self.hashes, self.ids, self.sizes, self.longest = hashes[order], order, sizes, int(sizes.max())
         self.tilt = np.exp(TILT * sizes)
 
     def spans(self, data: np.ndarray, start: np.ndarray, size: int):
@@ -103,7 +101,12 @@ class Lattice:
 def forward(lattice: Lattice, data: np.ndarray, start: np.ndarray, size: np.ndarray, tilted: np.ndarray) -> np.ndarray:
     """Log probability of each unit in each language. ``tilted``: languages x pieces."""
     out = np.zeros((len(start), len(tilted)))
-    for n in np.unique(size):
+    if len(far := np.flatnonzero(size > UNIT_BYTES)):
+        far = far[np.argsort(-size[far], kind="stable")]
+        for at in range(0, len(far), 64):
+            of = far[at : at + 64]
+            out[of] = forward_long(lattice, data, start[of], size[of], tilted)
+    for n in np.unique(size[size <= UNIT_BYTES]):
         of = np.flatnonzero(size == n)
         alpha = np.zeros((n + 1, len(of), len(tilted)))
         alpha[0] = 1
@@ -113,6 +116,39 @@ def forward(lattice: Lattice, data: np.ndarray, start: np.ndarray, size: np.ndar
     return out
 
 
+def forward_long(lattice: Lattice, data: np.ndarray, start: np.ndarray, size: np.ndarray, tilted: np.ndarray) -> np.ndarray:
+    """``forward`` for units of any size, in order of descending size: all go on by a byte at a time, with the sums of the last bytes at hand."""
+    lengths, languages, none = np.unique(lattice.sizes), len(tilted), tilted.shape[1]
+    weight = np.concatenate([tilted, np.zeros((languages, 1))], 1)  # a piece that isn't there
+    ring = np.zeros((lattice.longest + 1, len(start), languages))
+    ring[0] = 1
+    scale, out, step = np.zeros(len(start)), np.zeros((len(start), languages)), 256
+    for low in range(0, int(size[0]), step):
+        # The pieces that end at each of the next places.
+        ends = np.arange(low + 1, min(low + step, int(size[0])) + 1)
+        pieces = np.full((len(ends), len(lengths), len(start)), none, np.int64)
+        for k, n in enumerate(lengths):
+            at, unit = np.nonzero((ends[:, None] >= n) & (ends[:, None] <= size))
+            h = hash_spans(data, start[unit] + ends[at] - n, start[unit] + ends[at])
+            place = np.minimum(np.searchsorted(lattice.hashes, h), len(lattice.hashes) - 1)
+            hit = lattice.hashes[place] == h
+            pieces[at[hit], k, unit[hit]] = lattice.ids[place[hit]]
+        for i, end in enumerate(ends.tolist()):
+            live = int(np.searchsorted(-size, -end, side="right"))
+            before = ring[(end - lengths) % len(ring), :live]
+            new = (before * weight[:, pieces[i, :, :live]].transpose(1, 2, 0)).sum(0)
+            ring[end % len(ring), :live] = new
+            done = live - 1
+            while done >= 0 and size[done] == end:
+                out[done] = np.log(np.maximum(new[done], 1e-300)) + scale[done] - TILT * end
+                done -= 1
+            if end % 16 == 0:
+                most = new.max(1)
+                ring[:, :live] /= most[:, None]
+                scale[:live] += np.log(most)
+    return out
+
+
 def expected(lattice: Lattice, data: np.ndarray, start: np.ndarray, size: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected count of each piece in units with ``weight`` under piece probabilities ``p``."""
     counts, tilted = np.zeros(len(p)), p * lattice.tilt
@@ -210,7 +246,7 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, fit_docs: int = 300
         taken = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(of)) < limits[F.col("lang")])
 
         def run(batch):
-            data, doc, start, end = units(batch.column(0))
+            data, doc, start, end = units(batch.column(0), cut=True)
             langs = batch.column(1).to_pylist()
             if len(start):
                 yield {"lang": [langs[d] for d in doc], "unit": [data[a:b].tobytes() for a, b in zip(start, end)]}
