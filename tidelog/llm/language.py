@@ -122,7 +122,7 @@ def forward_long(lattice: Lattice, data: np.ndarray, start: np.ndarray, size: np
     weight = np.concatenate([tilted, np.zeros((languages, 1))], 1)  # a piece that isn't there
     ring = np.zeros((lattice.longest + 1, len(start), languages))
     ring[0] = 1
-    scale, out, step = np.zeros(len(start)), np.zeros((len(start), languages)), 256
+    scale, out, step = np.zeros((len(start), languages)), np.zeros((len(start), languages)), 256
     for low in range(0, int(size[0]), step):
         # The pieces that end at each of the next places.
         ends = np.arange(low + 1, min(low + step, int(size[0])) + 1)
@@ -143,9 +143,8 @@ def forward_long(lattice: Lattice, data: np.ndarray, start: np.ndarray, size: np
                 out[done] = np.log(np.maximum(new[done], 1e-300)) + scale[done] - TILT * end
                 done -= 1
             if end % 16 == 0:
-                most = new.max(1)
-                ring[:, :live] /= most[:, None]
-                scale[:live] += np.log(most)
+                ring[:, :live] /= new
+                scale[:live] += np.log(new)
     return out
 
 
