@@ -19,8 +19,7 @@ def whole():
 
 
 def test_ids_equal_the_library(whole, monkeypatch):
-    monkeypatch.setattr(encoding, "KEPT", 20)
-    monkeypatch.setattr(encoding, "PASSING", 10)
+    monkeypatch.setattr(encoding, "GENERATION", 20)
     e = encoding.Encoder(encoding.default_path())
     rng = random.Random(1)
     texts = ODD + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 600), rng.randrange(8192, 12352), 10, 32])) for _ in range(200)) for _ in range(60)]

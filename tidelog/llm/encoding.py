@@ -2,7 +2,9 @@
 
 The byte-level tokenizer cuts a text into pieces by a pattern and encodes each
 piece on its own, so a text's ids are its pieces' ids in order. Pieces are kept
-in a cache; only unseen ones go to the tokenizers library. A text that holds the
+in a cache of two generations: what is used moves to the younger one, which
+becomes the older one when it is full. Only pieces that neither holds go to the
+tokenizers library. A text that holds the
 string of a special token is given to the library whole, and so are all texts
 where the file cuts by another pattern or changes texts before.
 """
@@ -16,8 +18,8 @@ from array import array
 
 import numpy as np
 
-#: Entries of the cache that stays and of the one that is emptied when full.
-KEPT, PASSING = 300_000, 100_000
+#: Pieces of one generation of the cache; there are two at most.
+GENERATION = 200_000
 
 # The tokenizer file's cutting pattern, for texts of ASCII and Latin-1 letters and for all others.
 _NARROW = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -52,8 +54,22 @@ def cuts_alike(path: str) -> bool:
     return own and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
 
 
+class Pieces(dict):
+    """The ids of pieces, those of unseen ones from the tokenizer's model."""
+
+    def __init__(self, model, older: dict[str, bytes]):
+        self.tokenize, self.older = model.tokenize, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(byte_characters(piece))]).tobytes()  # 4 bytes, little-endian
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, without an end id."""
+    """``encode_all`` gives the ids of texts as little-endian unsigned 32-bit integers, without an end id."""
 
     def __init__(self, path: str):
         import regex
@@ -64,42 +80,18 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = regex.compile(_WIDE)
         self.alike, self.model = cuts_alike(path), self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.passing: list[str] = []
+        self.pieces = Pieces(self.model, {})
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        tokenize = self.model.tokenize
-        return {p: array("I", [t.id for t in tokenize(byte_characters(p))]).tobytes() for p in pieces}  # 4 bytes, little-endian
+    def encode(self, text: str) -> bytes:
+        if not self.alike or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.pieces) > GENERATION:
+            self.pieces.older = {}
+            self.pieces = Pieces(self.model, self.pieces)
+        return b"".join(map(self.pieces.__getitem__, (self.wide if _PLAIN.search(text) else _NARROW).findall(text)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            if not self.alike or any(s in text for s in self.special):
-                cut.append(None)
-            else:
-                cut.append((self.wide if _PLAIN.search(text) else _NARROW).findall(text))
-        known = self.known
-        distinct: set[str] = set()
-        for pieces in cut:
-            distinct.update(pieces or ())
-        unseen = [p for p in distinct if p not in known]
-        if unseen:
-            if len(known) + len(unseen) > KEPT + PASSING:
-                for p in self.passing:
-                    if p not in distinct:
-                        del known[p]
-                self.passing = [p for p in self.passing if p in distinct]
-            if len(known) >= KEPT:
-                self.passing += unseen
-            known |= self._learn(unseen)
-        get = known.__getitem__
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(get, pieces)))
-        return out
+        return [self.encode(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
