@@ -106,3 +106,13 @@ def test_write_amplification_of_nothing(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(runs.write_amplification(F.lit(0), F.lit(5), F.lit(5)).alias("w")).first()["w"] == 0.0
+
+
+def test_contiguous_prefix_at_any_place(spark):
+    from tidelog.operators import runs
+
+    for gone in ([], [5], [1], [250, 400], [499]):
+        seqs = [i for i in range(500) if i not in gone]
+        got = sorted(r["seq"] for r in runs.contiguous_prefix(spark.createDataFrame([(i + 10,) for i in seqs], "seq bigint")).collect())
+        assert got == [i + 10 for i in range(min([g for g in gone if g != 0], default=500))]
+    assert runs.contiguous_prefix(spark.createDataFrame([], "seq bigint")).collect() == []

@@ -140,3 +140,35 @@ def test_lru_query_runs_all_accesses(spark):
         lru.lookup((r[0] % 50,))
         lru.insert((r[0] % 50,), 1)
     assert catalogue.kv_lru_hits(spark, sf).first()[:2] == (lru.hits, lru.misses) and lru.hits + lru.misses == catalogue.events(spark, sf).count()
+
+
+def test_files_written_from_a_dataframe(spark, tmp_path):
+    from tidelog.sources import binary
+
+    rows = [(f"k{i:05d}", f"v{i}" * 3 if i % 5 else "", i % 5 == 0, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key string, value string, tomb boolean, seq bigint")
+    files = binary.write_tables(df, str(tmp_path / "t"), limit=5000)
+    meta = sorted((bytes(r["smallest"]), bytes(r["largest"]), r["entries"], r["number"]) for r in files.collect())
+    assert len(meta) > 4 and sum(m[2] for m in meta) == 2000 and all(a[1] < b[0] for a, b in zip(meta, meta[1:])) and len({m[3] for m in meta}) == len(meta)
+    back = {(bytes(r["key"]).decode(), bytes(r["value"]).decode(), r["tomb"]) for r in binary.read_tables(spark, str(tmp_path / "t")).collect()}
+    assert back == {r[:3] for r in rows}
+    assert {binary.file_number(f.name) for f in (tmp_path / "t").glob("*.sst")} == {(m[3], "sst") for m in meta} and binary.file_number("x.sst") is None and binary.file_number("1.tmp") is None
+    binary.write_logs(df, str(tmp_path / "l"), limit=9000)
+    logged = [(bytes(r["key"]).decode(), bytes(r["value"]).decode(), r["tomb"]) for r in binary.read_logs(spark, str(tmp_path / "l")).collect()]
+    assert sorted(logged) == sorted(r[:3] for r in rows)
+    from pyspark.sql import functions as F
+
+    binary.write_manifest(files.withColumn("level", F.lit(1)), str(tmp_path / "m" / "MANIFEST"), 99)
+    assert sorted((bytes(r["smallest"]), bytes(r["largest"]), r["entries"], r["number"]) for r in binary.read_manifests(spark, str(tmp_path / "m")).collect()) == meta
+
+
+def test_seek_and_bounds():
+    from tidelog.sources import binary
+
+    rows = [(b"k%05d" % (2 * i), b"v" * (i % 9), i % 7 == 0) for i in range(900)]
+    table = binary.SortedTable(binary.encode_table(rows, block_size=200))
+    assert (table.smallest, table.largest) == (rows[0][0], rows[-1][0])
+    for key in (b"", b"k00000", b"k00001", b"k00777", b"k01798", b"k9"):
+        assert list(table.seek(key)) == [r for r in rows if r[0] >= key]
+    empty = binary.SortedTable(binary.encode_table([]))
+    assert (empty.smallest, empty.largest, list(empty.seek(b"a"))) == (b"", b"", [])

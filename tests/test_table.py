@@ -88,6 +88,47 @@ def test_second_writer_loses(spark, tmp_path):
     assert KVTable.open(spark, str(tmp_path)).get("b")[0] == "NOT_FOUND"
 
 
+def test_flush_and_compaction_go_on_top_of_others_appends(spark, tmp_path):
+    a = KVTable.open(spark, str(tmp_path), Options(l0_compaction_trigger=1))
+    a.put(rows(spark, [("a", "1"), ("b", "1")]))
+    flusher, compactor = KVTable.open(spark, str(tmp_path), a.options), None
+    a.put(rows(spark, [("a", "2")]))
+    flusher.flush()
+    compactor = KVTable.open(spark, str(tmp_path), a.options)
+    a = KVTable.open(spark, str(tmp_path), a.options).put(rows(spark, [("c", "3")])).flush()
+    task = compaction.pick(compactor.version, compactor.options)
+    assert task and compactor.compact_once()
+    twin = KVTable.open(spark, str(tmp_path), a.options)
+    assert {r["key"]: r["value"] for r in twin.scan().collect()} == {"a": "2", "b": "1", "c": "3"} and twin.version.level(0) and twin.version.level(1)
+    late = KVTable.open(spark, str(tmp_path), a.options)
+    twin.compact_once()
+    with pytest.raises(ConflictError):
+        late.compact_once()
+    assert {r["key"]: r["value"] for r in KVTable.open(spark, str(tmp_path)).scan().collect()} == {"a": "2", "b": "1", "c": "3"}
+
+
+def test_a_large_flush_has_several_files_and_lookups_read_few(spark, tmp_path):
+    o = Options(memtable_flush_threshold=10_000, target_file_size=10_000, l0_compaction_trigger=2)
+    t = KVTable.open(spark, str(tmp_path), o).put(spark.range(3000).select(F.format_string("k%06d", "id").alias("key"), F.lit("x" * 40).alias("value")))
+    files = t.version.level(0)
+    assert len(files) > 5 and all(a.largest < b.smallest for a, b in zip(files, files[1:])) and not t.needs_compaction()
+    probe = spark.createDataFrame([("k000005",), ("k000005",), ("zzz",), (None,)], "key string")
+    found = t.multi_get(probe)
+    assert len(found.inputFiles()) == 1 and sorted((str(r["key"]), r["status"]) for r in found.collect()) == [("None", "NOT_FOUND"), ("k000005", "FOUND"), ("k000005", "FOUND"), ("zzz", "NOT_FOUND")]
+    many = spark.range(0, 300).select(F.format_string("k%06d", "id").alias("key"))
+    assert 0 < len((got := t.multi_get(many, few=10)).inputFiles()) < len(files) and got.where("status = 'FOUND'").count() == 300
+    assert t.multi_get(probe.limit(0)).collect() == []
+    s = t.stats().first()
+    assert s["flush_bytes"] == 3000 * (9 + 7 + 40) and s["user_bytes"] == 3000 * 47
+
+
+def test_tokens_are_kept_for_a_while(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), Options(keep_tokens=2))
+    for i in range(4):
+        t.put(rows(spark, [(f"k{i}", "1")]), token=f"b{i}")
+    assert set(t.version.tokens) == {"b2", "b3"}
+
+
 def test_nulls_and_options_are_refused(spark, tmp_path):
     t = KVTable.open(spark, str(tmp_path))
     with pytest.raises(InvalidArgument):

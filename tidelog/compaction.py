@@ -20,10 +20,15 @@ def needs(version: Version, options: Options) -> bool:
     return pick(version, options) is not None
 
 
+def flushes(files: list[FileMeta]) -> int:
+    """Flushes that files of level 0 come from: one may have written several with disjoint keys."""
+    return len({f.path.rpartition("/")[0] or f.number for f in files})
+
+
 def pick(version: Version, options: Options) -> Task | None:
-    """Level 0 first, when it has enough files; else the first file of the first level over its budget."""
+    """Level 0 first, when it has enough flushes; else the first file of the first level over its budget."""
     zero = version.level(0)
-    if len(zero) >= options.l0_compaction_trigger:
+    if flushes(zero) >= options.l0_compaction_trigger:
         return _task(version, 0, zero)
     for level in range(1, options.max_levels - 1):
         files = version.level(level)

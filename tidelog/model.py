@@ -35,6 +35,7 @@ class Options:
     block_size: int = 4096
     block_cache_bytes: int = 8 << 20
     keep_versions: int = 3
+    keep_tokens: int = 1000
 
     def budget(self, level: int) -> int:
         return self.l1_target_bytes * self.level_size_multiplier ** (level - 1)

@@ -40,6 +40,12 @@ class BlockCache:
         while not known and self.used > self.capacity and len(self.blocks) > 1:
             self.used -= self.blocks.popitem(last=False)[1]
 
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+    def reset_counters(self) -> None:
+        self.hits = self.misses = 0
+
     def hit_rate(self) -> float:
         return self.hits / (self.hits + self.misses) if self.hits + self.misses else 0.0
 

@@ -62,11 +62,13 @@ def blocks(rows: DataFrame, block_size: int) -> DataFrame:
 
 
 def block_of(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """For each probe and run the block that may hold its key, the last that begins at or before it; a probe with ``run_id`` is for that run alone."""
-    asked = probe if "run_id" in probe.columns else probe.crossJoin(index.select("run_id").distinct())
+    """For each probe (``run_id``, ``key``) the block of its run that may hold the key, the last that begins at or before it.
+
+    A probe names its run: ``in_files`` and ``overlapping`` tell which runs a key's range meets.
+    """
     both = index.select("run_id", F.col("first_key").alias("key"), "block", F.lit(0).alias("kind")).unionByName(
-        asked.select("run_id", "key", F.lit(None).cast("bigint").alias("block"), F.lit(1).alias("kind"))
-    )  # a run's index is metadata; probes are answered per run
+        probe.select("run_id", "key", F.lit(None).cast("bigint").alias("block"), F.lit(1).alias("kind"))
+    )  # a run is of bounded size
     upto = Window.partitionBy("run_id").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("block", F.last("block", ignorenulls=True).over(upto)).where("kind = 1 and block is not null").select("run_id", "key", "block")
 
@@ -107,10 +109,8 @@ def intact_prefix(frames: DataFrame) -> DataFrame:
 
 def contiguous_prefix(ops: DataFrame) -> DataFrame:
     """Operations up to the first gap in ``seq``, counted from its least. ``seq`` is unique."""
-    lag = F.lag("seq").over(Window.partitionBy("_part").orderBy("seq"))
-    parted = ops.repartitionByRange("seq").withColumn("_part", F.spark_partition_id()).withColumn("_lag", lag)
-    edges = parted.groupBy("_part").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
-    edges = edges.withColumn("_before", F.lag("_high").over(Window.orderBy("_part")))  # a row per range
-    gaps = parted.where("_lag is not null and seq <> _lag + 1").select("seq").unionByName(edges.where("_before is not null and _low <> _before + 1").select(F.col("_low").alias("seq")))
-    first = gaps.agg(F.min("seq").alias("gap"))
+    there = ops.select("seq")
+    # What follows a gap has none before it; of the least that is no gap. The join is by equality, so no range is cut.
+    begins = there.join(there.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti")
+    first = begins.orderBy("seq").limit(2).agg(F.when(F.count("seq") > 1, F.max("seq")).alias("gap"))  # the least of all, and the first gap's
     return ops.join(F.broadcast(first), F.col("gap").isNull() | (F.col("seq") < F.col("gap"))).drop("gap")

@@ -233,21 +233,24 @@ state AS ({_NEWEST.format("ops")})
 SELECT probe.key, CASE WHEN tomb IS NULL THEN 'NOT_FOUND' WHEN tomb THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN NOT tomb THEN value END AS value
 FROM probe LEFT JOIN state USING (key)""",
     "kv_flush_runs": f"WITH {_STATS} SELECT * FROM stats",
-    "kv_merge_keep_tombstones": f"WITH {_RUNS} {_NEWEST.format('(SELECT * FROM runs WHERE run_id <= 3)')}",
+    "kv_merge_keep_tombstones": f"WITH {_RUNS} {_NEWEST.format('runs')}",
     "kv_compact_bottommost": f"WITH {_RUNS} SELECT key, seq, value FROM ({_NEWEST.format('runs')}) WHERE NOT tomb",
     "kv_scan_layered": f"WITH {_OPS} SELECT key, seq, value FROM ({_NEWEST.format('ops')}) WHERE NOT tomb",
     "kv_file_overlap": f"WITH {_STATS} SELECT x.run_id AS a, y.run_id AS b FROM stats x, stats y WHERE x.run_id < y.run_id AND x.largest >= y.smallest AND x.smallest <= y.largest",
     "kv_sparse_index_lookup": f"""WITH {_RUNS},
-placed AS (SELECT run_id, key, floor((sum(9 + length(key) + length(value)) OVER (ORDER BY key) - 9 - length(key) - length(value)) / 4096)::BIGINT AS block FROM runs WHERE run_id = 0),
-idx AS (SELECT block, min(key) AS first_key FROM placed GROUP BY block)
-SELECT run_id, key, (SELECT max(block) FROM idx WHERE first_key <= placed.key) AS block FROM placed""",
+placed AS (SELECT run_id, key, floor((sum(9 + length(key) + length(value)) OVER (PARTITION BY run_id ORDER BY key) - 9 - length(key) - length(value)) / 4096)::BIGINT AS block FROM runs),
+idx AS (SELECT run_id, block, min(key) AS first_key FROM placed GROUP BY run_id, block)
+SELECT p.run_id, p.key, max(idx.block) AS block FROM placed p JOIN idx ON idx.run_id = p.run_id AND idx.first_key <= p.key GROUP BY p.run_id, p.key""",
     "kv_wal_prefix": f"WITH {_OPS} SELECT count(*) AS n, max(seq) AS last_seq FROM ops WHERE seq < (SELECT min(seq) FROM ops WHERE seq % 997 = 996)",
     "kv_write_amp": f"""WITH {_STATS}, u AS (SELECT sum(length(key) + CASE WHEN tomb THEN 0 ELSE length(value) END)::BIGINT AS user_bytes FROM ops), f AS (SELECT sum(bytes)::BIGINT AS flush_bytes FROM stats)
 SELECT user_bytes, flush_bytes, flush_bytes / user_bytes AS write_amplification FROM u, f""",
-    "kv_lru_hits": """WITH trace AS (SELECT event_id AS seq, user_id % 50 AS block FROM events WHERE event_id < 1500),
-linked AS (SELECT seq, block, lag(seq) OVER (PARTITION BY block ORDER BY seq) AS prev FROM trace),
-hit AS (SELECT l.seq, prev IS NOT NULL AND (SELECT count(DISTINCT t.block) FROM trace t WHERE t.seq > l.prev AND t.seq < l.seq) < 20 AS hit FROM linked l)
+    "kv_lru_hits": """WITH trace AS (SELECT event_id AS seq, user_id % 50 AS block, lag(event_id) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS prev FROM events),
+between_ AS (SELECT a.seq, count(*) AS others FROM trace a JOIN trace t ON t.seq > a.prev AND t.seq < a.seq WHERE t.prev IS NULL OR t.prev < a.prev GROUP BY a.seq),
+hit AS (SELECT a.seq, a.prev IS NOT NULL AND coalesce(others, 0) < 20 AS hit FROM trace a LEFT JOIN between_ USING (seq))
 SELECT sum(hit::BIGINT)::BIGINT AS hits, (count(*) - sum(hit::BIGINT))::BIGINT AS misses, sum(hit::BIGINT) / count(*) AS hit_rate FROM hit""",
+    "kv_crc32": f"""WITH {_OPS}, newest AS (SELECT key, arg_max(value, seq) AS value FROM ops GROUP BY key),
+bytes AS (SELECT key, list_prepend(4294967295, list_transform(string_split(value, ''), lambda c: ord(c)::BIGINT)) AS x, value FROM newest)
+SELECT key, CASE WHEN value = '' THEN 0 ELSE xor(4294967295, list_reduce(x, lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1))))) END::BIGINT AS crc FROM bytes""",
     "kv_latency_percentiles": """WITH r AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS rank, count(*) OVER () AS n FROM events)
 SELECT q, value FROM r JOIN (VALUES (0.5::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE)) p(q) ON rank = least(floor(q * n), n - 1) + 1""",
     "kv_delete_band": _scan("NOT (key >= 'u000020' AND key < 'u000030')"),

@@ -16,15 +16,21 @@ only the torn end of a log is left out, as its writer never acknowledged it.
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.sketch import bloom_build, bloom_may_contain
-from ..model import CorruptionError
+from ..model import RECORD_HEADER, CorruptionError
+from ..storage import save
 
 # Fixed values of the format.
 MAGIC = 0x4C534D42
@@ -84,12 +90,25 @@ class SortedTable:
         self.filter = _checked(data, where[0], where[1], "the filter")
         index, at = _checked(data, where[2], where[3], "the index"), 0
         self.index: list[tuple[bytes, int, int]] = []
+        self._last: bytes | None = None
         while at < len(index):
             (n,) = struct.unpack_from("<I", index, at)
             key = index[at + 4 : at + 4 + n]
             offset, length = struct.unpack_from("<QI", index, at + 4 + n)
             self.index.append((key, offset, length))
             at += 16 + n
+        self.firsts = [k for k, _, _ in self.index]
+
+    @property
+    def smallest(self) -> bytes:
+        return self.firsts[0] if self.firsts else b""
+
+    @property
+    def largest(self) -> bytes:
+        """The last key, for which the last block is read once."""
+        if self._last is None:
+            self._last = max((k for k, _, _ in self.block(len(self.index) - 1)), default=b"") if self.index else b""
+        return self._last
 
     def block(self, i: int) -> Iterator[Row]:
         body, at = _checked(self.data, *self.index[i][1:], "a block"), 0
@@ -107,13 +126,17 @@ class SortedTable:
         for i in range(len(self.index)):
             yield from self.block(i)
 
-    def get(self, key: bytes) -> Row | None:
-        """The record of ``key``: filter, then the last block that begins at or before it."""
-        from bisect import bisect_right
+    def seek(self, key: bytes) -> Iterator[Row]:
+        """The records from the first key at or after ``key`` on."""
+        first = max(0, bisect_right(self.firsts, key) - 1)
+        for i in range(first, len(self.index)):
+            yield from (r for r in self.block(i) if i > first or r[0] >= key)
 
-        if not bloom_may_contain(self.filter, [key])[0]:
+    def get(self, key: bytes, use_filter: bool = True) -> Row | None:
+        """The record of ``key``: filter, then the last block that begins at or before it."""
+        if use_filter and not bloom_may_contain(self.filter, [key])[0]:
             return None
-        i = bisect_right([k for k, _, _ in self.index], key) - 1
+        i = bisect_right(self.firsts, key) - 1
         return next((r for r in self.block(i) if r[0] == key), None) if i >= 0 else None
 
 
@@ -175,6 +198,79 @@ def decode_manifest(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, by
         raise CorruptionError("the manifest is cut off") from e
 
 
+def file_number(name: str) -> tuple[int, str] | None:
+    """Number and kind of a file of a store, ``000012.sst`` or ``000007.log``; None for any other name."""
+    m = re.fullmatch(r"(\d+)\.(sst|log)", name)
+    return (int(m[1]), m[2]) if m else None
+
+
+def _put_file(path: str, data: bytes) -> None:
+    """Write under another name, then rename, so that a task that is lost or runs twice leaves whole files only."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    partial = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(partial) as f:
+        f.write(data)
+    system.move(partial, at)
+
+
+def _written(rows: DataFrame, path: str, kind: str, limit: int, parts: int, encode) -> DataFrame:
+    """Files of about ``limit`` bytes of ``key``, ``value`` and ``tomb`` from each partition in order: ``number``, ``path``, ``entries``, ``size``,
+    ``smallest`` and ``largest``. A partition's numbers are its own and ``parts`` apart, so a task that runs again writes the same names."""
+    schema = pa.schema([("number", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("size", pa.int64()), ("smallest", pa.binary()), ("largest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() + 1, [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            data, name = encode(held), f"{path}/{number:06d}.{kind}"
+            _put_file(name, data)
+            keys = [r[0] for r in held]
+            out = pa.RecordBatch.from_pylist([{"number": number, "path": name, "entries": len(held), "size": len(data), "smallest": min(keys), "largest": max(keys)}], schema=schema)
+            held.clear()
+            number, size = number + parts, 0
+            return out
+
+        for batch in batches:
+            for key, value, tomb in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append((key, value, tomb))
+                size += RECORD_HEADER + len(key) + len(value)
+                if size >= limit:
+                    yield close()
+        if held:
+            yield close()
+
+    binary = rows.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), "tomb")
+    return save(binary.mapInArrow(run, "number bigint, path string, entries bigint, size bigint, smallest binary, largest binary"), "files")
+
+
+def write_tables(rows: DataFrame, path: str, limit: int = 2 << 20, block_size: int = 4096, bits_per_key: int = 10) -> DataFrame:
+    """Sorted tables of ``key``, ``value`` and ``tomb``, a row per key, with disjoint key ranges; a row per file as ``_written`` gives."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.withColumn("key", F.col("key").cast("binary")).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    return _written(placed, path, "sst", limit, parts, lambda held: encode_table(held, block_size, bits_per_key))
+
+
+def write_logs(rows: DataFrame, path: str, limit: int = 4 << 20) -> DataFrame:
+    """Logs of ``seq``, ``key``, ``value`` and ``tomb``, each of a range of ``seq`` in order; a row per file as ``_written`` gives."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _written(rows.repartitionByRange(parts, "seq").sortWithinPartitions("seq"), path, "log", limit, parts, encode_log)
+
+
+def write_manifest(files: DataFrame, path: str, next_file: int) -> None:
+    """One manifest of ``files`` (``level`` and what ``write_tables`` gives), a row per file and so small."""
+    levels: list[list] = []
+    for r in files.select("level", "number", "size", "entries", "smallest", "largest").orderBy("level", "smallest").collect():
+        levels += [[] for _ in range(r["level"] + 1 - len(levels))]
+        levels[r["level"]].append((r["number"], r["size"], r["entries"], bytes(r["smallest"]), bytes(r["largest"])))
+    _put_file(path, encode_manifest(next_file, levels))
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
