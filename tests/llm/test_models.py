@@ -215,6 +215,38 @@ def test_secrets_found_and_look_alikes_left(documents, forest):
         assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_false_positives_on_findings_held_out(spark, forest):
+    """Findings that the forest hasn't seen: those made by the rule with other numbers."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = secrets.labelled_findings(spark, 4500).subtract(secrets.labelled_findings(spark, 1500))
+    scored = forest.forest.transform(secrets.described(rows, forest.lexicon)).select("label", vector_to_array("_p")[1].alias("p")).collect()
+    false = [r["p"] >= 0.5 for r in scored if r["label"] == 0]
+    missed = [r["p"] < 0.5 for r in scored if r["label"] == 1]
+    assert len(false) > 1000 and np.mean(false) < 0.03 and np.mean(missed) < 0.05
+
+
+def test_features_equal_plain_ones(spark, forest):
+    """Transitions between letters and dictionary coverage, against loops over characters."""
+    lex = forest.lexicon
+    texts = ["passwordzqkvhwxm", "AKIAQZ7WM4", "the-quick/brown_Fox12", "1234567890", "internationalization"]
+    rows = spark.createDataFrame([(t, t, "", "", "") for t in texts], "secret string, word string, before string, after string, path string")
+    got = {r["secret"]: (r["letter_pairs"], r["coverage"]) for r in secrets.described(rows, lex).collect()}
+    pieces = sorted({t.lower()[i : i + k] for t in texts for k in secrets.WORD_SIZES for i in range(len(t) - k + 1)})
+    frame = spark.createDataFrame([(p,) for p in pieces], "w string")
+    at, mark = secrets._slot(frame["w"])
+    known = {r["w"] for r in frame.select("w", at.alias("at"), mark.alias("mark")).collect() if lex.words[r["at"]] == r["mark"]}
+    assert {"password", "brown", "quick"} <= known
+    for t in texts:
+        low = t.lower()
+        steps = [lex.pairs[(ord(a) - 97) * 26 + ord(b) - 97] for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
+        i = covered = 0
+        while i < len(low):
+            size = next((k for k in reversed(secrets.WORD_SIZES) if low[i : i + k] in known and i + k <= len(low)), 0)
+            covered, i = covered + size, i + (size or 1)
+        assert got[t] == pytest.approx((np.mean(steps) if steps else 0.0, covered / len(t)))
+
+
 def test_secrets_of_any_columns(spark, forest):
     key = "AKIA" + "QZ7WM4KXN2LP5RTY"
     names = ["_key", "_secrets", "_words", "_hit", "_p", "_x", "length", "prefix", "word", "path"]

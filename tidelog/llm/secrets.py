@@ -1,10 +1,16 @@
 """Secret scans with a random forest that removes false findings; DataFrame functions and JVM learners only.
 
 A *candidate* is a run of at least ``MIN_LENGTH`` letters, digits and ``+/_-``
-inside one word that holds a letter; that it looks like a secret is the forest's to say. It is described by its length,
-the transitions between kinds of characters, its digits, its coverage by
-dictionary words, the path it was found under, and the words beside it. A random
-forest trained from labelled findings keeps the real ones.
+inside one word that holds a letter; that it looks like a secret is the forest's
+to say. It is described by its length, the transitions between kinds of
+characters and from letter to letter, its digits, its coverage by dictionary
+words, the path it was found under, and the words beside it. A random forest
+trained from labelled findings keeps the real ones.
+
+The dictionary is the lower-case words of a public vocabulary file. Their letter
+pairs give the probability of each transition. Whether a piece of a candidate is a
+word is asked of a table of a byte of the hash at the place the hash gives: one word
+in fifty or so gives way to another there, and hardly any other piece passes.
 
 The labelled findings are a parameter. The default table is made by rule from
 public key formats (true) and from the look-alikes a scanner trips over (false):
@@ -20,6 +26,10 @@ ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
+import json
+import math
+from typing import NamedTuple
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -45,7 +55,74 @@ DICTIONARY = (
     "would other after first also into could than them these only some what when your more over such make like back work well even want because"
 ).split()
 
-FEATURES = ["length", "transitions", "digit_share", "upper_share", "lower_share", "hex", "coverage", "vowel_share", "distinct_share", "dashes", "slashes", "quoted", "assigned", "word_for", "word_against", "path_harmless", "prefix"]
+FEATURES = ["length", "transitions", "letter_pairs", "digit_share", "upper_share", "lower_share", "hex", "common_words", "coverage", "vowel_share", "distinct_share", "dashes", "slashes", "quoted", "assigned", "word_for", "word_against", "path_harmless", "prefix"]
+
+
+#: Bytes of the dictionary's table, and lengths of the words looked up.
+SLOTS, WORD_SIZES = 1 << 19, (4, 5, 6, 7, 8)
+
+
+class Lexicon(NamedTuple):
+    """``pairs``: log probability of each letter after each, 26 x 26. ``words``: the table of words."""
+
+    pairs: list[float]
+    words: bytes
+
+
+def _slot(word: Column) -> tuple[Column, Column]:
+    """Place and mark of a word in the table."""
+    h = F.xxhash64(word)
+    return F.pmod(h, F.lit(SLOTS)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(255)).cast("int") + 1
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def lexicon(spark: SparkSession, vocabulary: str | None = None) -> Lexicon:
+    """From the words of lower-case ASCII letters that a tokenizer file has with a space before them."""
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    words = sorted(w[1:] for w in pieces if w[:1] == "\u0120" and len(w) > 3 and w[1:].isascii() and w[1:].isalpha() and w[1:].islower())
+    counts = [[0.5] * 26 for _ in range(26)]
+    for w in words:
+        for a, b in zip(w, w[1:]):
+            counts[ord(a) - 97][ord(b) - 97] += 1
+    pairs = [math.log(n / sum(row)) for row in counts for n in row]
+    marks = bytearray(SLOTS)
+    known = spark.createDataFrame([(w,) for w in words if len(w) in WORD_SIZES], "w string")  # as many as the vocabulary has
+    at, mark = _slot(F.col("w"))
+    for r in known.select(at.alias("at"), mark.alias("mark")).orderBy("at", "mark").collect():
+        marks[r["at"]] = r["mark"]
+    return Lexicon(pairs, bytes(marks))
+
+
+def _letter_pairs(s: Column, lex: Lexicon) -> Column:
+    """Mean log probability of the transitions between the letters of ``s`` that stand side by side; 0 if there are none."""
+    codes = F.transform(F.split(F.lower(s), ""), lambda c: F.ascii(c) - 97)
+    table_ = F.lit(lex.pairs)
+    letter = lambda x: (x >= 0) & (x < 26)
+    steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.when(letter(a) & letter(b), F.get(table_, a * 26 + b)))
+    sums = F.aggregate(steps, F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("n")), lambda acc, x: F.struct((acc["t"] + F.coalesce(x, F.lit(0.0))).alias("t"), (acc["n"] + F.when(x.isNull(), 0.0).otherwise(1.0)).alias("n")))
+    return F.when(sums["n"] > 0, sums["t"] / sums["n"]).otherwise(0.0)
+
+
+def _word_share(s: Column, lex: Lexicon) -> Column:
+    """Share of the characters of ``s`` under words of the dictionary, taken from the left, the longest first."""
+    low, marks = F.lower(s), F.lit(bytearray(lex.words))
+
+    def known(piece: Column) -> Column:
+        at, mark = _slot(piece)
+        return F.hex(F.substring(marks, at + 1, F.lit(1))) == F.lpad(F.hex(mark), 2, "0")
+
+    def step(end: Column, i: Column) -> Column:
+        size = F.coalesce(*(F.when((F.length(low) - i >= k - 1) & known(F.substring(low, i, F.lit(k))), F.lit(k)) for k in reversed(WORD_SIZES)), F.lit(0))
+        return F.when((i >= end["at"]) & (size > 0), F.struct((i + size).alias("at"), (end["n"] + size).alias("n"))).otherwise(end)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(1).alias("at"), F.lit(0).alias("n")), step)
+    return walked["n"] / F.length(s)
 
 
 def _any_of(words: list[str]) -> str:
@@ -68,7 +145,7 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None) ->
     return named_hits.withColumn("path", F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit(""))
 
 
-def described(found: DataFrame) -> DataFrame:
+def described(found: DataFrame, lex: Lexicon) -> DataFrame:
     """``found`` with ``FEATURES`` as doubles, from ``secret``, ``word``, ``before``, ``after`` and ``path``."""
     s = F.col("secret")
     n = F.length(s)
@@ -85,7 +162,9 @@ def described(found: DataFrame) -> DataFrame:
         "upper_share": count("A-Z") / n,
         "lower_share": count("a-z") / n,
         "hex": flag(s.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
-        "coverage": covered / n,
+        "common_words": covered / n,
+        "coverage": _word_share(s, lex),
+        "letter_pairs": _letter_pairs(s, lex),
         "vowel_share": count("aeiouAEIOU") / n,
         "distinct_share": F.size(F.array_distinct(F.split(s, ""))) / n,
         "dashes": count("_-").cast("double"),
@@ -168,23 +247,34 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     return base.select(choose(0).alias("label"), choose(1).alias("secret"), F.concat(choose(2), choose(1)).alias("word"), choose(3).alias("before"), none.alias("after"), pick(["", "src/app.py", "tests/fixture.json", "web"], "path").alias("path"))
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
-    """A forest over the described ``findings`` (``label`` 0 or 1); a table of findings is reviewed by hand and so small."""
+class Model(NamedTuple):
+    forest: PipelineModel
+    lexicon: Lexicon
+
+
+def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7, vocabulary: str | None = None) -> Model:
+    """A forest over the described ``findings`` (``label`` 0 or 1); a table of findings is reviewed by hand and so small.
+
+    The rows are put in one order in one partition, so that the forest is the same on any cluster.
+    """
+    lex = lexicon(findings.sparkSession, vocabulary)
     forest = RandomForestClassifier(featuresCol="_x", labelCol="label", rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), forest]).fit(described(findings).select("label", *FEATURES))
+    rows = described(findings, lex).select("label", "secret", "word", *FEATURES)
+    placed = rows.repartition(1).sortWithinPartitions("label", "secret", "word", *FEATURES).select("label", *FEATURES)
+    return Model(Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), forest]).fit(placed), lex)
 
 
-def scan(docs: DataFrame, model: PipelineModel, text: str = "text", path: str | None = "source", threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text", path: str | None = "source", threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``word_no``, ``secret`` and ``score`` of every finding that the forest takes for real."""
     held = [f"_kept{i}" for i in range(len(keep))]  # names that clash with none of the features
     there = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     wanted = docs.select(*(F.col(c).alias(h) for c, h in zip(keep, held)), F.col(text).alias("_text"), there.alias("_path"))
-    scored = model.transform(described(candidates(wanted, "_text", "_path")))
+    scored = model.forest.transform(described(candidates(wanted, "_text", "_path"), model.lexicon))
     found = scored.select(*held, "word_no", "secret", vector_to_array("_p")[1].alias("score")).where(F.col("score") >= threshold)
     return found.select(*(F.col(h).alias(c) for h, c in zip(held, keep)), "word_no", "secret", "score")
 
 
-def redact(docs: DataFrame, model: PipelineModel, text: str = "text", path: str | None = "source", mask: str = MASK) -> DataFrame:
+def redact(docs: DataFrame, model: Model, text: str = "text", path: str | None = "source", mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; a column ``n_chars`` is set to the new length where there is one."""
     key, secrets = unused(docs, "_key", "_secrets")
     rows = docs.withColumn(key, F.xxhash64(F.col(text), F.length(text), *([F.col(path)] if path in docs.columns else [])))
