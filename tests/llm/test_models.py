@@ -236,7 +236,7 @@ def test_features_equal_plain_ones(spark, forest):
     frame = spark.createDataFrame([(p,) for p in pieces], "w string")
     at, mark = secrets._slot(frame["w"])
     known = {r["w"] for r in frame.select("w", at.alias("at"), mark.alias("mark")).collect() if lex.words[r["at"]] == r["mark"]}
-    assert {"password", "brown", "quick"} <= known
+    assert {"brown", "quick"} <= known
     for t in texts:
         low = t.lower()
         steps = [lex.pairs[(ord(a) - 97) * 26 + ord(b) - 97] for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]

@@ -7,10 +7,11 @@ characters and from letter to letter, its digits, its coverage by dictionary
 words, the path it was found under, and the words beside it. A random forest
 trained from labelled findings keeps the real ones.
 
-The dictionary is the lower-case words of a public vocabulary file. Their letter
-pairs give the probability of each transition. Whether a piece of a candidate is a
-word is asked of a table of a byte of the hash at the place the hash gives: one word
-in fifty or so gives way to another there, and hardly any other piece passes.
+The letter pairs of the lower-case words of a public vocabulary file give the
+probability of each transition, and the ``WORDS`` most common of them are the
+dictionary. Whether a piece of a candidate is a word is asked of a small table, which
+plans can carry: a byte of the hash at the place the hash gives. One word in twenty
+or so gives way to another there, and hardly any other piece passes.
 
 The labelled findings are a parameter. The default table is made by rule from
 public key formats (true) and from the look-alikes a scanner trips over (false):
@@ -58,8 +59,8 @@ DICTIONARY = (
 FEATURES = ["length", "transitions", "letter_pairs", "digit_share", "upper_share", "lower_share", "hex", "common_words", "coverage", "vowel_share", "distinct_share", "dashes", "slashes", "quoted", "assigned", "word_for", "word_against", "path_harmless", "prefix"]
 
 
-#: Bytes of the dictionary's table, and lengths of the words looked up.
-SLOTS, WORD_SIZES = 1 << 19, (4, 5, 6, 7, 8)
+#: Words of the dictionary, bytes of its table, and lengths of the words looked up.
+WORDS, SLOTS, WORD_SIZES = 3000, 1 << 15, (4, 5, 6, 7, 8)
 
 
 class Lexicon(NamedTuple):
@@ -85,14 +86,15 @@ def lexicon(spark: SparkSession, vocabulary: str | None = None) -> Lexicon:
     """From the words of lower-case ASCII letters that a tokenizer file has with a space before them."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         pieces = json.load(f)["model"]["vocab"]
-    words = sorted(w[1:] for w in pieces if w[:1] == "\u0120" and len(w) > 3 and w[1:].isascii() and w[1:].isalpha() and w[1:].islower())
+    # The earlier a piece is in the file, the more common it is.
+    words = [w[1:] for w in sorted(pieces, key=pieces.get) if w[:1] == "\u0120" and len(w) > 3 and w[1:].isascii() and w[1:].isalpha() and w[1:].islower()]
     counts = [[0.5] * 26 for _ in range(26)]
     for w in words:
         for a, b in zip(w, w[1:]):
             counts[ord(a) - 97][ord(b) - 97] += 1
     pairs = [math.log(n / sum(row)) for row in counts for n in row]
     marks = bytearray(SLOTS)
-    known = spark.createDataFrame([(w,) for w in words if len(w) in WORD_SIZES], "w string")  # as many as the vocabulary has
+    known = spark.createDataFrame([(w,) for w in words if len(w) in WORD_SIZES][:WORDS], "w string")
     at, mark = _slot(F.col("w"))
     for r in known.select(at.alias("at"), mark.alias("mark")).orderBy("at", "mark").collect():
         marks[r["at"]] = r["mark"]
@@ -118,7 +120,8 @@ def _word_share(s: Column, lex: Lexicon) -> Column:
         return F.hex(F.substring(marks, at + 1, F.lit(1))) == F.lpad(F.hex(mark), 2, "0")
 
     def step(end: Column, i: Column) -> Column:
-        size = F.coalesce(*(F.when((F.length(low) - i >= k - 1) & known(F.substring(low, i, F.lit(k))), F.lit(k)) for k in reversed(WORD_SIZES)), F.lit(0))
+        sizes = F.array(*(F.lit(k) for k in reversed(WORD_SIZES)))
+        size = F.coalesce(F.get(F.filter(sizes, lambda k: (F.length(low) - i >= k - 1) & known(F.substring(low, i, k))), F.lit(0)), F.lit(0))
         return F.when((i >= end["at"]) & (size > 0), F.struct((i + size).alias("at"), (end["n"] + size).alias("n"))).otherwise(end)
 
     walked = F.aggregate(F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(1).alias("at"), F.lit(0).alias("n")), step)
