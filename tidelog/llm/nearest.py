@@ -172,7 +172,7 @@ def _share(n: int, wanted: int):
     return F.pmod(F.xxhash64("vec_id"), F.lit(of)) < min(of, -(-of * wanted // n))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", replicas: int = 2, slack: float = 0.1, probes: int = 1024, ratio: float = 1.22, list_size: int = LIST_SIZE, piece: int = PIECE) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", replicas: int = 2, slack: float = 0.1, probes: int = 1024, ratio: float = 1.24, list_size: int = LIST_SIZE, piece: int = PIECE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest rows to each query, itself excepted."""
     spark = rows.sparkSession
     base = usable(rows, id_column, vector)
