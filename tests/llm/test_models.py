@@ -87,7 +87,9 @@ def test_units():
     texts = pa.array(["Été À3b", None, "", "12 34", "x" * 150, "ÀÉÞ×ß"])
     data, doc, start, end = language.units(texts)
     got = [(int(d), data[a:b].tobytes().decode(errors="replace")) for d, a, b in zip(doc, start, end)]
-    assert got[:3] == [(0, "été"), (0, "à"), (0, "b")] and [len(u) for d, u in got if d == 4] == [64, 64, 22] and got[-1][1] == "àéþ×ß"
+    assert got[:3] == [(0, "été"), (0, "à"), (0, "b")] and [len(u) for d, u in got if d == 4] == [150] and got[-1][1] == "àéþ×ß"
+    _, doc, start, end = language.units(texts, cut=True)  # what is learned from
+    assert (end - start)[doc == 4].tolist() == [64, 64, 22]
 
 
 def test_language_cases(documents, spark):
