@@ -311,7 +311,9 @@ def verify(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
             out += [(int(i), None, chunk.column("g")[0].as_py()) for i in ids[(role == 0) & (root != base)]]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=names)
 
-    return sets.join(wanted, "class").groupBy("g", "part", "piece").applyInArrow(run, "a bigint, b bigint, g bigint")
+    # Dealt by ranges of chunks, which hold about as many rows each: by hash, some tasks would get several full chunks and others none.
+    placed = sets.join(wanted, "class").repartitionByRange("g", "part", "piece")
+    return placed.groupBy("g", "part", "piece").applyInArrow(run, "a bigint, b bigint, g bigint")
 
 
 def _placed(groups: DataFrame, queries: DataFrame | None) -> DataFrame:
