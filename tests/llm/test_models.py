@@ -188,8 +188,10 @@ def test_matches_equal_brute_force(spark, documents):
                 want.add((d, i, got[0]))
     for block in (4_000_000, 100):
         assert {tuple(r)[:3] for r in decontaminate.matches(docs, table, block_chars=block).collect()} == want
-    clean = decontaminate.clean(docs, table)
-    assert clean.columns == docs.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in rows if d not in {w[0] for w in want})
+        ends = {tuple(r) for r in decontaminate.matches(docs, table, block_chars=4_000_000).collect()}
+        assert {tuple(r) for r in decontaminate.matches(docs, table, block_chars=block).collect()} == ends
+        clean = decontaminate.clean(docs.withColumn("_key", F.lit(1)), table, block_chars=block)
+        assert clean.columns == [*docs.columns, "_key"] and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in rows if d not in {w[0] for w in want})
     assert decontaminate.matches(docs.limit(0), table).collect() == [] and decontaminate.matches(docs, table.limit(0)).collect() == []
 
 

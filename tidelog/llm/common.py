@@ -44,14 +44,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
-    """Apply ``f`` to slices of ``columns``, whose first string column is cut by ``CHUNK_BYTES``."""
+def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict]], text: str | None = None) -> DataFrame:
+    """Apply ``f`` to slices of ``columns``, cut by ``CHUNK_BYTES`` of the column ``text``, else of one of that name or the first string one."""
     kept = df.select(*columns)
     arrow = pa.schema(_arrow_fields(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text=text):
                 for out in f(part):
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], t) if not isinstance(out[n], pa.Array) else out[n].cast(t) for n, t in zip(arrow.names, arrow.types)], schema=arrow)
 
@@ -68,9 +68,9 @@ def text_column(batch: pa.RecordBatch) -> pa.Array | None:
     return strings.get("text", next(iter(strings.values()), None))
 
 
-def slices(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, text: str | None = None) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` with at most ``limit`` bytes of text, or one row."""
-    column = text_column(batch)
+    column = batch.column(batch.schema.get_field_index(text)) if text else text_column(batch)
     if column is None:
         yield batch
         return

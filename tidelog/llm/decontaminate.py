@@ -7,8 +7,9 @@ can't touch them all, so every match holds a piece unchanged. All pieces are
 found in one pass by an automaton; around each hit Myers' bit-parallel distance
 decides.
 
-The items go to the executors in blocks of bounded size, one scan of the
-documents a block, so a large benchmark takes more scans and not more memory.
+Items of up to ``BLOCK_CHARS`` characters go to all executors. More of them are
+not broadcast: pieces and texts then meet in a join (see ``by_pieces``), which
+finds the same matches in one scan of the documents.
 
 Defined cases: null and empty texts hold nothing; null and empty items are found
 nowhere; repeated items and documents are reported once each as often as they
@@ -25,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, table
+from .common import arrow_map, gram_hashes, mix, save, slices, table, unused
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
-#: Characters of the items of one block.
+#: Most characters of items that are sent to the executors.
 BLOCK_CHARS = 4_000_000
+#: Numbers of a piece's characters that are looked up, and bits of the map of their hashes.
+ANCHORS = (1, 2, 3, 4, 6, 8, 12, 16)
+BITMAP_BITS = 1 << 27
 
 FOUND = "doc_id bigint, item_id bigint, distance int, end bigint"
 
@@ -127,24 +131,20 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, limit: int = BLOCK_CHARS):
-    """Items as ``(id, normal text)`` in lists of at most about ``limit`` characters."""
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        yield [(r["item_id"], normal(r["text"])) for r in items.where((part == k) & F.col("text").isNotNull()).select("item_id", "text").collect()]
+def _block(items: DataFrame, limit: int) -> list | None:
+    """The items as ``(id, normal text)`` if they have at most ``limit`` characters, else none."""
+    total = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    return [(r["item_id"], normal(r["text"])) for r in items.where(F.col("text").isNotNull()).select("item_id", "text").collect()] if total <= limit else None
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance`` and ``end`` (in the normal text) of every item that a document holds."""
-    spark = docs.sparkSession
-    out = None
-    for block in item_blocks(items, block_chars):
-        sent = spark.sparkContext.broadcast(block)
-        found = _scan(docs, sent, rate)
-        out = found if out is None else out.unionByName(found)
-    return out
+    block = _block(items, block_chars)
+    if block is not None:
+        return _scan(docs, docs.sparkSession.sparkContext.broadcast(block), rate)
+    found, numbered = by_pieces(docs, items, rate)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", _key(F.col("text")).alias("key"))
+    return rows.join(found, "key").join(numbered.select("item", "item_id"), "item").select("doc_id", "item_id", "distance", "end")
 
 
 def _scan(docs: DataFrame, sent, rate: float) -> DataFrame:
@@ -169,24 +169,109 @@ def _matcher(key, sent, rate: float) -> Matcher:
     return _matchers[key, rate]
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item, with all their columns; rows are judged by their own text."""
+def _key(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+def anchor_size(n: int) -> int:
+    """How many of a piece's first characters are looked up: few sizes, so that a text is hashed few times."""
+    return max(w for w in ANCHORS if w <= n)
+
+
+def anchor_hashes(text: str, size: int) -> np.ndarray:
+    """A hash of the ``size`` characters at each place of ``text``."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return gram_hashes(mix(chars + np.uint64(0x9E3779B97F4A7C15)), size) ^ np.uint64(size)
+
+
+def by_pieces(docs: DataFrame, items: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """``key`` (of a text), ``item``, ``distance`` and ``end`` of every match, and ``item``, ``item_id`` and ``norm`` of the items.
+
+    For items of any size: pieces and places of the texts meet in a join on the hash of a piece's first characters. A bitmap of fixed size
+    drops places that no piece has; the rest carry only a hash and a place. Hits give windows of a text, in which Myers' distance decides.
+    """
     spark = docs.sparkSession
-    schema = docs.schema
+    numbered = save(_normal_items(items.where(F.col("text").isNotNull())).where("norm <> ''").withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def cut(batch):
+        rows = [(i, int(anchor_hashes(p, w := anchor_size(len(p)))[:1].view(np.int64)[0]), w, at) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for at, p in pieces(t, rate)]
+        yield dict(zip(("item", "hash", "size", "at"), map(list, zip(*rows))))
+
+    cuts = save(arrow_map(numbered, ["item", "norm"], "item bigint, hash bigint, size int, at int", cut), "pieces")
+    bits = F.pmod("hash", F.lit(BITMAP_BITS)) + 1
+    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
+    # At most BITMAP_BITS / 32768 rows of 4 KB.
+    for r in cuts.groupBy(F.bitmap_bucket_number(bits).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bits)).alias("m")).collect():
+        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    sizes = [r["size"] for r in cuts.select("size").distinct().collect()]  # at most len(ANCHORS)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def look(batch):
+        out: dict[str, list] = {"key": [], "norm": [], "hash": [], "place": []}
+        for key, text in zip(batch.column(0).to_pylist(), map(normal, batch.column(1).to_pylist())):
+            for size in sizes:
+                h = anchor_hashes(text, size)
+                bit = (h.view(np.int64) % BITMAP_BITS).astype(np.int64)
+                places = np.flatnonzero(sent.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                if len(places):
+                    out["key"] += [key] * len(places)
+                    out["norm"] += [None] * len(places)
+                    out["hash"] += h[places].view(np.int64).tolist()
+                    out["place"] += places.tolist()
+            if out["key"] and out["key"][-1] == key:
+                for name, value in (("key", key), ("norm", text), ("hash", None), ("place", None)):
+                    out[name].append(value)
+        yield out
+
+    keyed = docs.where(F.col("text").isNotNull()).select(_key(F.col("text")).alias("key"), "text")
+    seen = save(arrow_map(keyed, ["key", "text"], "key string, norm string, hash bigint, place bigint", look, text="text"), "places")
+    hits = seen.where("hash is not null").select("key", "hash", "place").distinct().join(cuts, "hash").select("key", "item", (F.col("place") - F.col("at")).alias("begin")).distinct()
+    n = F.length("norm")
+    budgets = numbered.select("item", F.col("norm").alias("sought"), F.floor(F.lit(rate) * n).alias("budget"))
+    placed = hits.join(budgets, "item").withColumn("from", F.greatest(F.lit(0), F.col("begin") - F.col("budget")))
+    texts = seen.where("norm is not null").groupBy("key").agg(F.any_value("norm").alias("norm"))
+    till = F.col("begin") + F.length("sought") + F.col("budget")
+    windows = placed.join(texts, "key").select("key", "item", "sought", "budget", "from", F.col("norm").substr((F.col("from") + 1).cast("int"), (till - F.col("from")).cast("int")).alias("window"))
+
+    def decide(batch):
+        rows = []
+        for key, item, sought, budget, start, window in zip(*(c.to_pylist() for c in batch.columns)):
+            distance, end = myers(sought, window)
+            if distance <= budget:
+                rows.append((key, item, distance, start + end))
+        if rows:
+            yield dict(zip(("key", "item", "distance", "end"), map(list, zip(*rows))))
+
+    judged = arrow_map(windows, windows.columns, "key string, item bigint, distance int, end bigint", decide, text="window")
+    best = judged.groupBy("key", "item").agg(F.min(F.struct("distance", "end")).alias("best")).select("key", "item", "best.*")
+    return save(best, "found"), numbered
+
+
+def _normal_items(items: DataFrame) -> DataFrame:
+    def run(batch):
+        yield {"item_id": batch.column(0), "norm": list(map(normal, batch.column(1).to_pylist()))}
+
+    return arrow_map(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text"), ["item_id", "text"], "item_id bigint, norm string", run)
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no item, with all their columns; rows are judged by their own text."""
+    block = _block(items, block_chars)
+    if block is None:
+        found, _ = by_pieces(docs, items, rate)
+        (key,) = unused(docs, "_key")
+        return docs.withColumn(key, _key(F.col("text"))).join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     at = docs.columns.index("text")
-    out = docs
-    for block in item_blocks(items):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent, key=uuid.uuid4().hex):
-            matcher = _matcher(key, sent, rate)
-            for batch in batches:
-                for part in slices(batch):
-                    keep = [not matcher.find(normal(t)) for t in part.column(at).to_pylist()]
-                    yield part.filter(pa.array(np.array(keep, bool)))
-
-        out = out.mapInArrow(run, schema)
-    return out
+
+    def run(batches):
+        matcher = _matcher(key, sent, rate)
+        for batch in batches:
+            for part in slices(batch):
+                keep = [not matcher.find(normal(t)) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(np.array(keep, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
