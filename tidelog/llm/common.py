@@ -7,6 +7,7 @@ encoded text without decoding it.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -54,10 +55,19 @@ def arrow_map(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.Re
             for part in slices(batch, text=text):
                 for out in f(part):
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], t) if not isinstance(out[n], pa.Array) else out[n].cast(t) for n, t in zip(arrow.names, arrow.types)], schema=arrow)
+        give_back()
 
     return kept.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Spark keeps its Python workers, and an executor's memory holds all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def _arrow_fields(schema: str | StructType) -> list[pa.Field]:
     return list(to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema))
 
